@@ -70,23 +70,31 @@ def paths(messages: DataFrame, branches: int | None = None, max_rounds: int = 40
     m = messages.select("tree", "msg", "parent", F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("score"))
     up = m.select(F.col("tree").alias("t"), F.col("msg").alias("p"))
     first = m.join(up, (m.tree == up.t) & (m.parent == up.p), "left").select("tree", "msg", F.col("p").alias("anc"), F.lit(1).cast("long").alias("hops"), "score")
-    jumps = [table(first, "chat-jump")]
-    while jumps[-1].where("anc is not null").limit(1).count():
-        if len(jumps) > max_rounds:
-            break  # what is left lies on cycles
-        a = jumps[-1]
-        b = a.select(F.col("tree").alias("t"), F.col("msg").alias("p"), F.col("anc").alias("anc2"), F.col("hops").alias("h2"), F.col("score").alias("s2"))
-        new = a.join(b, (a.tree == b.t) & (a.anc == b.p), "left").select("tree", "msg", F.col("anc2").alias("anc"), (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"))
-        jumps.append(table(new, "chat-jump"))
-    depth = jumps[-1].where("anc is null").select("tree", "msg", (F.col("hops") - 1).alias("depth"), "score")
-    parents = jumps[0].where("anc is not null").select("tree", F.col("anc").alias("msg")).distinct()
+    state = table(first, "chat-jump")
+    jumps, done = [state.where("anc is not null")], [state.where("anc is null")]
+    while jumps[-1].limit(1).count() and len(jumps) <= max_rounds:  # what is left in the end lies on cycles
+        a = jumps[-1]  # only messages that have not reached their root take part
+        b = done[0]
+        for x in done[1:]:
+            b = b.unionByName(x)
+        b = b.unionByName(a).select(F.col("tree").alias("t"), F.col("msg").alias("p"), F.col("anc").alias("anc2"), F.col("hops").alias("h2"), F.col("score").alias("s2"))
+        b = b.join(a.select(F.col("tree").alias("t")).distinct(), "t", "left_semi")
+        new = a.join(b, (a.tree == b.t) & (a.anc == b.p)).select("tree", "msg", F.col("anc2").alias("anc"), (F.col("hops") + F.col("h2")).alias("hops"), (F.col("score") + F.col("s2")).alias("score"))
+        state = table(new, "chat-jump")
+        done.append(state.where("anc is null"))
+        jumps.append(state.where("anc is not null"))
+    ends = done[0]
+    for x in done[1:]:
+        ends = ends.unionByName(x)
+    depth = ends.select("tree", "msg", (F.col("hops") - 1).alias("depth"), "score")
+    parents = jumps[0].select("tree", F.col("anc").alias("msg")).distinct()
     leaves = depth.join(parents, ["tree", "msg"], "left_anti")
     rank = F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "msg"))
     leaves = leaves.select("tree", F.col("msg").alias("leaf"), rank.alias("branch_rank"), F.col("score").alias("branch_score"))
     leaves = leaves if branches is None else leaves.where(F.col("branch_rank") <= branches)
     found = leaves.withColumn("msg", F.col("leaf"))
-    for jump in reversed(jumps):
-        step = jump.where("anc is not null").select("tree", "msg", "anc")
+    for jump in reversed(jumps[:-1] if len(jumps) > 1 else jumps):
+        step = jump.select("tree", "msg", "anc")
         more = found.join(step, ["tree", "msg"]).select(*leaves.columns, F.col("anc").alias("msg"))
         found = table(found.unionByName(more), "chat-path") if jump is not jumps[0] else found.unionByName(more)
     return found.join(depth.select("tree", "msg", "depth"), ["tree", "msg"])
