@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapstrata.llm import op5_exact_dedup, op7_license, op10_chat
+import public_tokenizers
+
+from snapstrata.llm import op1_packing, op4_bpe, op5_exact_dedup, op7_license, op10_chat
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_bpe.encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
@@ -29,6 +39,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1,
+    "op4_bpe": op4,
     "op5_exact_dedup": op5,
     "op7_license": op7,
     "op10_chat": op10,
