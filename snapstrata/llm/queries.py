@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from snapstrata.llm import op1_packing, op4_bpe, op5_exact_dedup, op7_license, op10_chat
+from snapstrata.llm import op1_packing, op4_bpe, op5_exact_dedup, op7_license, op8_suffix, op9_cdc, op10_chat
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_license.license_scan(_read(spark, sf_dir, "documents"))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_suffix.suffix_dedup(_read(spark, sf_dir, "documents"), length=100)
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_cdc.cdc_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, whose two texts try to forge control strings."""
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -43,6 +51,8 @@ QUERIES = {
     "op4_bpe": op4,
     "op5_exact_dedup": op5,
     "op7_license": op7,
+    "op8_suffix": op8,
+    "op9_cdc": op9,
     "op10_chat": op10,
 }
 
