@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snapstrata.llm import meet
 from snapstrata.llm.common import BYTE_VALUE, flat, mix, powers, sliced, table
 from snapstrata.llm.spans import keyed, remove_spans
 
@@ -162,55 +163,17 @@ def earlier_matches(parts: list[bytes], ords: np.ndarray, starts: np.ndarray, le
     return list(zip(p.tolist(), (hit[a] + shift).tolist(), (hit[b] + shift + length).tolist(), strict=True))
 
 
-def _signed(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
-
-
-def _grams(batches, length: int):
-    """(spread, h, rk, known): k-gram hashes of each text. Where a slice of texts has one twice, it is known to repeat;
-    then one row tells the other tasks and the rest are dealt out evenly."""
+def _grams(batches, length: int, n: int):
+    """Least k-gram hashes of each text, packed for the meeting of equal ones."""
     for batch in batches:
         for part in sliced(batch):
             data, offsets = flat(part.column("text"))
             text, _, _, h, twice = least_grams(data, offsets, length)
-            order = np.lexsort((text, h))
-            text, h = text[order], h[order]
-            rep = np.ones(len(h), bool)
-            rep[1:] = h[1:] != h[:-1]
-            count = np.diff(np.append(np.flatnonzero(rep), len(h)))
-            known = np.repeat(count > 1, count) | twice[order]
+            order = np.lexsort((~twice, text, h))
+            text, h, twice = text[order], h[order], twice[order]
             own = np.ones(len(h), bool)
-            own[1:] = rep[1:] | (text[1:] != text[:-1])
-            rk = part.column("rk").to_numpy()[text]
-            spread = np.where(rep, h.view(np.int64), mix((rk.view(np.uint64) + h)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(spread[own]), _signed(h[own]), pa.array(rk[own]), pa.array(known[own])], names=["spread", "h", "rk", "known"])
-
-
-def _repeated(batches):
-    """(rk, h) of k-grams known to repeat, or met twice among rows sorted by spread."""
-    held = None
-    for batch in batches:
-        spread, h, rk = (batch.column(c).to_numpy() for c in ("spread", "h", "rk"))
-        known = batch.column("known").to_numpy(zero_copy_only=False)
-        if held is not None:
-            spread, h, rk, known = (np.concatenate([a, b]) for a, b in zip(held, (spread, h, rk, known), strict=True))
-        if not len(h):
-            continue
-        rep = np.flatnonzero(spread == h)  # rows that speak for their k-gram; equal ones are neighbours
-        same = h[rep][1:] == h[rep][:-1]
-        twice = np.zeros(len(h), bool)
-        twice[rep[1:][same]] = True
-        twice[rep[:-1][same]] = True
-        out = known | twice
-        # the last row of a k-gram may be met again in the next batch; it is then emitted as known
-        last = rep[-1:] if len(rep) else rep
-        held = tuple(np.array(x[last]) for x in (spread, h, rk, known)) if len(last) else None
-        if held is not None:
-            held = (held[0], held[1], held[2], out[last])
-            out[last] = False
-        yield pa.RecordBatch.from_arrays([pa.array(rk[out]), pa.array(h[out])], names=["rk", "h"])
-    if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(held[2][held[3]]), pa.array(held[1][held[3]])], names=["rk", "h"])
+            own[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+            yield meet.send(h[own], part.column("rk").to_numpy()[text[own]], twice[own], n)
 
 
 def _fragments(batches, length: int):
@@ -303,10 +266,9 @@ def _index(batches, length: int, block: int):
 
 def repeated_spans(rows: DataFrame, length: int = 100, block: int = BLOCK_BYTES) -> DataFrame:
     """(rk, start, stop): bytes covered by strings of ``length`` bytes that also start earlier. rows: ord, rk, text."""
-    grams = rows.select("rk", "text").mapInArrow(lambda b: _grams(b, length), "spread long, h long, rk long, known boolean")
-    n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    repeated = grams.repartition(int(n), "spread").sortWithinPartitions("spread").mapInArrow(_repeated, "rk long, h long")
-    wanted = repeated.groupBy("rk").agg(F.collect_set("h").alias("grams"))
+    cells, n = meet.buckets(rows), rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    sent = rows.select("rk", "text").mapInArrow(lambda b: _grams(b, length, cells), meet.SCHEMA)
+    wanted = meet.shared_keys(sent).select(F.col("owner").alias("rk"), F.col("keys").alias("grams"))
     fragments = rows.select("rk", "ord", "text").join(wanted, "rk").mapInArrow(lambda b: _fragments(b, length), "h long, ord long, rk long, start int, stop int, bytes binary, own boolean")
     return fragments.repartition(int(n), "h").sortWithinPartitions("h").mapInArrow(lambda b: _index(b, length, block), "rk long, start int, stop int")
 

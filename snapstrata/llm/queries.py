@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from snapstrata.llm import op1_packing, op4_bpe, op5_exact_dedup, op7_license, op8_suffix, op9_cdc, op10_chat
+from snapstrata.llm import op1_packing, op2_ngram_join, op4_bpe, op5_exact_dedup, op7_license, op8_suffix, op9_cdc, op10_chat
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_ngram_join.jaccard_components(_read(spark, sf_dir, "documents"), size=5, t=75).select("doc_id", "n_shingles", "component_id")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_bpe.encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
@@ -48,6 +52,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1,
+    "op2_ngram_join": op2,
     "op4_bpe": op4,
     "op5_exact_dedup": op5,
     "op7_license": op7,
