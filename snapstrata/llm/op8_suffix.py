@@ -173,6 +173,7 @@ def _grams(batches, length: int, n: int):
             text, h, twice = text[order], h[order], twice[order]
             own = np.ones(len(h), bool)
             own[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+            twice[:-1] |= ~own[1:]  # in two fragments of one text
             yield meet.send(h[own], part.column("rk").to_numpy()[text[own]], twice[own], n)
 
 
