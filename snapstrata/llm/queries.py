@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from snapstrata.llm import op1_packing, op2_ngram_join, op4_bpe, op5_exact_dedup, op7_license, op8_suffix, op9_cdc, op10_chat
+from snapstrata.llm import op1_packing, op2_ngram_join, op3_quality, op4_bpe, op5_exact_dedup, op6_embedding, op7_license, op8_suffix, op9_cdc, op10_chat
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_ngram_join.jaccard_components(_read(spark, sf_dir, "documents"), size=5, t=75).select("doc_id", "n_shingles", "component_id")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_quality.quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_bpe.encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
@@ -30,6 +34,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_embedding.embedding_components(_read(spark, sf_dir, "embeddings"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_license.license_scan(_read(spark, sf_dir, "documents"))
 
@@ -53,8 +61,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1,
     "op2_ngram_join": op2,
+    "op3_quality": op3,
     "op4_bpe": op4,
     "op5_exact_dedup": op5,
+    "op6_embedding": op6,
     "op7_license": op7,
     "op8_suffix": op8,
     "op9_cdc": op9,
