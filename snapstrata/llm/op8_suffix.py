@@ -275,9 +275,9 @@ def repeated_spans(rows: DataFrame, length: int = 100, block: int = BLOCK_BYTES)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, cut at whole characters); one row per row of docs.
+    """doc_id, rk, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, cut at whole characters); one row per row of docs.
 
-    Texts are bytes in UTF-8 (null: empty). Removed is every byte covered by a string of ``length`` bytes that also
+    rk is the row key of spans.row_key. Texts are bytes in UTF-8 (null: empty). Removed is every byte covered by a string of ``length`` bytes that also
     starts earlier: in a smaller id, or in the same text further left. Judged on the input, exact
     by comparing the strings themselves.
 
@@ -289,4 +289,4 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     Rows with one id count as one place: equal starts are not compared. A null id comes last."""
     rows = keyed(docs, id_col, text_col)
     spans = table(repeated_spans(rows, length), "suffix-spans")
-    return remove_spans(rows, spans, keep_text).drop("rk")
+    return remove_spans(rows, spans, keep_text)

@@ -43,7 +43,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op8_suffix.suffix_dedup(_read(spark, sf_dir, "documents"), length=100)
+    return op8_suffix.suffix_dedup(_read(spark, sf_dir, "documents"), length=100).drop("rk")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

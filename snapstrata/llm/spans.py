@@ -15,11 +15,15 @@ from snapstrata.llm.common import flat, sliced
 LAST_ID = 2**63 - 1
 
 
+def row_key(id_col: str, text_col: str) -> F.Column:
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ord (long), rk (long; of id and text), text (null: empty). Rows with one id and text share rk: their
     spans are the same."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("ord"), F.xxhash64(F.col(id_col), text).alias("rk"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("ord"), row_key(id_col, text_col).alias("rk"), text.alias("text"))
 
 
 def covered(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
