@@ -58,39 +58,52 @@ def least_grams(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, rank of each suffix) by prefix doubling from eight bytes on."""
+    """(suffix array, rank of each suffix) by prefix doubling from eight bytes on; suffixes whose rank is settled
+    are not sorted again."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | padded[j : j + n]
-    step = 8
+    key = eight_bytes(text)
+    order = np.argsort(key)
+    key, slots, rank, step = key[order], np.arange(n), np.empty(n, np.int64), 8
+    where = order
     while True:
-        order = np.argsort(key)
-        sorted_key = key[order]
-        new = np.ones(n, np.int64)
-        new[0] = 0
-        new[1:] = sorted_key[1:] != sorted_key[:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if rank[order[-1]] == n - 1 or step >= 2 * n:
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(key)))
+        rank[where] = np.repeat(slots[start], size)  # a group is named by its first slot
+        open_ = np.repeat(size > 1, size)
+        slots, where = slots[open_], where[open_]
+        if not len(slots):
             return order, rank
-        second = np.zeros(n, np.int64)
-        second[:-step] = rank[step:] + 1 if step < n else 0
-        key = rank.astype(np.uint64) * np.uint64(n + 1) + second.astype(np.uint64)
+        after = where + step
+        second = np.zeros(len(where), np.int64)
+        inside = after < n
+        second[inside] = rank[after[inside]] + 1
+        key = rank[where].astype(np.uint64) * np.uint64(n + 1) + second.astype(np.uint64)
+        again = np.argsort(key)
+        key, where = key[again], where[again]
+        order[slots] = where
         step *= 2
 
 
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the common prefixes of pairs of different suffixes."""
+def eight_bytes(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; zeros follow the end."""
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
+
+
+def common_prefix(text: np.ndarray, words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of pairs of different suffixes; words: eight_bytes(text)."""
     n, out = len(text), np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    while len(live):
-        x, y = a[live] + out[live], b[live] + out[live]
-        same = (x < n) & (y < n)
-        same[same] = text[x[same]] == text[y[same]]
-        live = live[same]
-        out[live] += 1
+    for values, step in ((words, 8), (text, 1)):
+        live = np.arange(len(a))
+        while len(live):
+            x, y = a[live] + out[live], b[live] + out[live]
+            same = (x + step <= n) & (y + step <= n)
+            same[same] = values[x[same]] == values[y[same]]
+            live = live[same]
+            out[live] += step
     return out
 
 
@@ -109,12 +122,12 @@ class RunLengthIndex:
         runs = np.flatnonzero(head)
         self.run_bytes, self.run_starts = bwt[runs], runs
         at = np.sort((order[runs] - 1) % len(text))
-        at = np.unique(np.append(at, len(text) - 1))
+        at = at if at[-1] == len(text) - 1 else np.append(at, len(text) - 1)
         r = rank[at]
         prev = np.where(r > 0, order[r - 1], -1)
         lcp = np.zeros(len(at), np.int64)
         some = prev >= 0
-        lcp[some] = common_prefix(text, at[some], prev[some])
+        lcp[some] = common_prefix(text, eight_bytes(text), at[some], prev[some])
         self.at, self.prev, self.lcp, self.n = at, prev, lcp, len(text)
 
     def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +149,8 @@ def earlier_matches(parts: list[bytes], ords: np.ndarray, starts: np.ndarray, le
     i = np.arange(len(text))
     valid = i + length <= begin[part] + sizes[part]
     linked = valid & (common >= length)
+    if not linked.any():
+        return []
     # equal strings form chains of predecessors; each finds the end of its chain by pointer doubling
     root = np.where(linked, prev, i)
     while True:
@@ -143,7 +158,9 @@ def earlier_matches(parts: list[bytes], ords: np.ndarray, starts: np.ndarray, le
         if (further == root).all():
             break
         root = further
-    members = np.flatnonzero(linked | np.isin(i, prev[linked]))
+    chained = linked.copy()
+    chained[prev[linked]] = True
+    members = np.flatnonzero(chained)
     group, doc = root[members], ords[part[members]]
     place = starts[part[members]] + members - begin[part[members]]
     order = np.lexsort((place, doc, group))
@@ -164,17 +181,21 @@ def earlier_matches(parts: list[bytes], ords: np.ndarray, starts: np.ndarray, le
 
 
 def _grams(batches, length: int, n: int):
-    """Least k-gram hashes of each text, packed for the meeting of equal ones."""
+    """Least k-gram hashes of each text, packed for the meeting of equal ones; copies of a text share an owner."""
     for batch in batches:
         for part in sliced(batch):
             data, offsets = flat(part.column("text"))
             text, _, _, h, twice = least_grams(data, offsets, length)
-            order = np.lexsort((~twice, text, h))
-            text, h, twice = text[order], h[order], twice[order]
+            copy = part.column("copy").to_numpy()[text]
+            order = np.lexsort((~twice, text, copy, h))
+            text, copy, h, twice = text[order], copy[order], h[order], twice[order]
             own = np.ones(len(h), bool)
-            own[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-            twice[:-1] |= ~own[1:]  # in two fragments of one text
-            yield meet.send(h[own], part.column("rk").to_numpy()[text[own]], twice[own], n)
+            own[1:] = (h[1:] != h[:-1]) | (copy[1:] != copy[:-1])
+            twice[:-1] |= ~own[1:] & (text[1:] == text[:-1])  # in two fragments of one text
+            first = np.maximum.accumulate(np.where(own, np.arange(len(h)), 0))
+            any_twice = np.zeros(len(h), bool)
+            np.logical_or.at(any_twice, first, twice)
+            yield meet.send(h[own], copy[own], any_twice[own], n)
 
 
 def _fragments(batches, length: int):
@@ -268,10 +289,17 @@ def _index(batches, length: int, block: int):
 def repeated_spans(rows: DataFrame, length: int = 100, block: int = BLOCK_BYTES) -> DataFrame:
     """(rk, start, stop): bytes covered by strings of ``length`` bytes that also start earlier. rows: ord, rk, text."""
     cells, n = meet.buckets(rows), rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    sent = rows.select("rk", "text").mapInArrow(lambda b: _grams(b, length, cells), meet.SCHEMA)
-    wanted = meet.shared_keys(sent).select(F.col("owner").alias("rk"), F.col("keys").alias("grams"))
+    text = F.col("text")
+    sent = rows.select(F.xxhash64(text).alias("copy"), "text").mapInArrow(lambda b: _grams(b, length, cells), meet.SCHEMA)
+    # of equal texts the first row speaks for all; the others are covered from end to end
+    place = rows.select("rk", "ord", F.xxhash64(text).alias("copy"), F.sha2(text, 256).alias("sha"), F.octet_length(text).alias("stop"))
+    place = table(place.where(F.col("stop") >= length), "suffix-places")
+    first = place.groupBy("sha").agg(F.min(F.struct("ord", "rk", "copy")).alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = place.join(first.where("n > 1"), "sha").where("ord > first.ord").select("rk", F.lit(0).alias("start"), F.col("stop").cast("int").alias("stop"))
+    wanted = meet.shared_keys(sent).withColumnRenamed("owner", "copy").join(first.select("first.copy", "first.rk"), "copy").select("rk", F.col("keys").alias("grams"))
     fragments = rows.select("rk", "ord", "text").join(wanted, "rk").mapInArrow(lambda b: _fragments(b, length), "h long, ord long, rk long, start int, stop int, bytes binary, own boolean")
-    return fragments.repartition(int(n), "h").sortWithinPartitions("h").mapInArrow(lambda b: _index(b, length, block), "rk long, start int, stop int")
+    spans = fragments.repartition(int(n), "h").sortWithinPartitions("h").mapInArrow(lambda b: _index(b, length, block), "rk long, start int, stop int")
+    return spans.unionByName(copies)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -281,6 +309,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     starts earlier: in a smaller id, or in the same text further left. Judged on the input, exact
     by comparing the strings themselves.
 
+    0. Equal texts: all but the first are covered from end to end, and only the first goes on.
     1. Least k-gram hashes of all strings; those that occur twice anywhere are found by one shuffle of hashes.
     2. Fragments around them go to buckets by that hash (combined before the shuffle: a passage that many
        documents share sends one row a slice of texts).
