@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from snapstrata.llm import meet
 from snapstrata.llm.common import BASE, components, flat, lower_table, mix, sliced, table, words
-from snapstrata.llm.spans import keyed
+from snapstrata.llm.spans import keyed, row_key
 
 #: Fixed: words are runs of other bytes than these; A-Z are lower-cased.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -112,7 +112,7 @@ def _verify(batches, t: int):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok)], names=["a", "b", "ok"])
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int = 2, id_col: str = "doc_id", text_col: str = "text", row_keys: bool = False) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id; one row per row of docs.
 
     Two texts link when 100 * |A and B| >= t * |A or B| for their sets of distinct shingles of ``size`` words (a shorter text:
@@ -130,7 +130,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int =
        rounds leave near copies in one component. All pairs of a posting that are then still in different components are
        verified too, so no link between components is lost, while pairs inside one need no look.
     Hashes of 64 bits stand for shingles. Rows with one id are rows of their own; a null id never is a component's name
-    unless all its ids are null. An empty table gives an empty result."""
+    unless all its ids are null. An empty table gives an empty result. With row_keys: rk and keep_rk as well, the keys
+    (spans.row_key) of the row and of its component's first row."""
     rows = keyed(docs, id_col, text_col)
     kinds = dict(rows.dtypes)
     member = table(rows.select("doc_id", "rk", "text").mapInArrow(lambda b: _classes(b, size), f"doc_id {kinds['doc_id']}, rk long, n long, cls long"), "ngram-classes")
@@ -184,13 +185,16 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int =
     links = last.where("ok")
     if links.limit(1).count():
         label = components(nodes, tried.where("ok").select("a", "b").unionByName(links.select("a", "b")), "ngram-cc").select(F.col("id").alias("cls"), F.col("component").alias("label"))
-    named = member.join(label, "cls", "left").select("doc_id", "n", "cls", F.coalesce("label", "cls").alias("root"))
+    named = member.join(label, "cls", "left").select("doc_id", "rk", "n", "cls", F.coalesce("label", "cls").alias("root"))
     named = table(named, "ngram-named")
-    least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = named.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("first"))
+    out = named.join(first, "root", "left")
+    keys = ["rk", F.coalesce("first.rk", "rk").alias("keep_rk")] if row_keys else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), *keys)
 
 
 def near_dedup(docs: DataFrame, size: int = 5, t: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, one of each component: that with the smallest id. Rows that repeat that id stay once."""
-    keep = jaccard_components(docs, size, t, id_col=id_col, text_col=text_col).where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
+    """The rows of docs, one of each component: that with the smallest id. Of rows that agree in id and text one stays."""
+    found = jaccard_components(docs, size, t, id_col=id_col, text_col=text_col, row_keys=True)
+    keep = found.where("rk = keep_rk").select(F.col("rk").alias("__rk"))
+    return docs.withColumn("__rk", row_key(id_col, text_col)).join(keep, "__rk", "left_semi").dropDuplicates(["__rk"]).drop("__rk")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snapstrata.llm.spans import row_key
+
 #: Fixed characters that do not count when texts are compared: [\x20\x09-\x0D].
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -17,6 +19,15 @@ def normalised(text: Column) -> Column:
     return out
 
 
+def _combined(docs: DataFrame, salts: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(keyed rows, one row per content with its winner and size)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.char_length(text).alias("chars"), row_key(id_col, text_col).alias("rk"))
+    keyed = rows.select("doc_id", "norm", F.sha2("norm", 256).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("rk").alias("r")).alias("rank"))
+    salted = keyed.groupBy("digest", "norm", "salt").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n"))
+    return keyed, salted.groupBy("digest", "norm").agg(F.min("rank").alias("rank"), F.sum("n").alias("group_size"))
+
+
 def exact_groups(docs: DataFrame, salts: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -31,17 +42,14 @@ def exact_groups(docs: DataFrame, salts: int = 16, id_col: str = "doc_id", text_
     Null texts count as empty texts and form one group. Ties go to the smallest id. Repeated rows
     with one id count as members; each comes back. An empty table gives an empty result. Null ids are
     members too and lose every tie. Extra columns are ignored."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars"))
-    keyed = rows.select("doc_id", "norm", F.sha2("norm", 256).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d")).alias("rank"))
-    salted = keyed.groupBy("digest", "norm", "salt").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n"))
-    whole = salted.groupBy("digest", "norm").agg(F.min("rank").alias("rank"), F.sum("n").alias("group_size"))
+    keyed, whole = _combined(docs, salts, id_col, text_col)
     groups = whole.select("digest", F.octet_length("norm").alias("bytes"), F.col("rank.d").alias("keep_id"), "group_size")
     members = keyed.select("doc_id", "digest", F.octet_length("norm").alias("bytes"))
     return members.join(groups, ["digest", "bytes"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, salts: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose row stays, with all their columns. Rows repeated with one id stay once each group;
-    of several rows that share the winning id and text, one is kept."""
-    keep = exact_groups(docs, salts, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
+    """The documents whose row stays, with all their columns; of rows that agree in id and text one stays."""
+    _, whole = _combined(docs, salts, id_col, text_col)
+    keep = whole.select(F.col("rank.r").alias("__rk"))
+    return docs.withColumn("__rk", row_key(id_col, text_col)).join(keep, "__rk", "left_semi").dropDuplicates(["__rk"]).drop("__rk")
