@@ -77,6 +77,17 @@ def mode_bits(mode: Column) -> Column:
     return mode.bitwiseAND(F.lit(0o777))
 
 
+#: Extensions of files that count as programs where a file system has no permission bits.
+PROGRAMS = ("exe", "bat", "cmd", "com", "msi", "ps1")
+
+
+def fallback_mode(path: Column, readonly: Column) -> Column:
+    """Permissions of a file on a system without permission bits."""
+    program = F.lower(F.regexp_extract(path, r"[^/]\.([^./]*)$", 1)).isin(*PROGRAMS)
+    write = F.when(readonly, F.lit(0)).otherwise(F.lit(0o200))
+    return F.lit(0o444) + write + F.when(program, F.lit(0o111)).otherwise(F.lit(0))
+
+
 def human_size(n: Column) -> Column:
     """For display only: decimal units with two digits."""
     out = F.concat(n.cast("string"), F.lit(" B"))

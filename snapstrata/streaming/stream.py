@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from snapstrata.functions.scalars import sha256
 
@@ -57,3 +58,23 @@ def run_refcount(spark: SparkSession, chunks: DataFrame, folder: str | None = No
 
 def as_chunks(df: DataFrame, column: str) -> DataFrame:
     return df.select(sha256(F.encode(F.col(column), "UTF-8")).alias("chunk_hash"))
+
+
+class ProgressListener(StreamingQueryListener):
+    """Hands a whole percent of ``total`` rows to ``report`` after every batch; spark.streams.addListener(...)."""
+
+    def __init__(self, total: int, report):
+        self.total, self.report, self.processed = total, report, 0
+
+    def onQueryStarted(self, event):
+        self.report({"percent": 0, "total": self.total, "processed": 0})
+
+    def onQueryProgress(self, event):
+        self.processed += event.progress.numInputRows
+        self.report({"percent": self.processed * 100 // self.total if self.total else 0, "total": self.total, "processed": self.processed})
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass

@@ -153,3 +153,30 @@ def test_small_things(spark):
     with pytest.raises(ValueError):
         EngineConfig("Ada")
     assert '"percent": 0' in progress(0, 0) and '"percent": 33' in progress(1, 3)
+
+
+def test_modes_and_progress(spark):
+    rows = spark.createDataFrame([("a/b.EXE", True), ("a.b/c", True), ("x.txt", False), ("run.ps1", False), (".exe", False)], "p string, ro boolean")
+    assert [r[0] for r in rows.select(scalars.fallback_mode(F.col("p"), F.col("ro"))).collect()] == [0o555, 0o444, 0o644, 0o755, 0o644]
+    from types import SimpleNamespace
+
+    from snapstrata.streaming.stream import ProgressListener
+
+    seen = []
+    listener = ProgressListener(4, seen.append)
+    listener.onQueryStarted(None)
+    listener.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(numInputRows=3)))
+    assert [x["percent"] for x in seen] == [0, 75]
+
+
+def test_stream_goes_on(spark, tmp_path):
+    """A second run on one folder sees only new files, and counts go on."""
+    from snapstrata.streaming import stream
+
+    src = str(tmp_path / "in")
+    for k, props in enumerate((["a", "b", "a"], ["a", "c"])):
+        spark.createDataFrame([(p,) for p in props], "props string").coalesce(1).write.mode("append").parquet(src)
+        chunks = stream.as_chunks(stream.read_stream(spark, src, 1), "props")
+        counts = sorted(r.refcount for r in stream.run_refcount(spark, chunks, str(tmp_path / "rc")).collect())
+        seen = stream.run_first_seen(spark, chunks, str(tmp_path / "fs")).count()
+        assert (counts, seen) == (([1, 2], 2) if not k else ([1, 1, 3], 3))
