@@ -17,6 +17,8 @@ from snapstrata.llm.spans import keyed, row_key
 BLANK = b" \t\n\x0b\x0c\r"
 #: Classes of equal sets that a task remembers to send once.
 SEEN = 1_000_000
+#: Counters of the frequency sketch (4 MB whatever the corpus), and its parts.
+COUNTERS, PARTS = 1 << 20, 64
 
 _WORD = np.ones(256, bool)
 _WORD[np.frombuffer(BLANK, np.uint8)] = False
@@ -96,7 +98,47 @@ def _sets(batches, size: int):
     for batch in batches:
         for part in sliced(batch):
             sets = shingle_sets(*flat(part.column("text")), size)
-            yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "items"])
+            yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("n"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "n", "items"])
+
+
+def _send_sets(batches, cells: int):
+    for batch in batches:
+        for part in sliced(batch, "items"):
+            data, offsets = flat(part.column("items"))
+            key = np.frombuffer(data.tobytes(), np.uint64)
+            yield meet.send(key, np.repeat(part.column("cls").to_numpy(), np.diff(offsets) // 8), np.zeros(len(key), bool), cells)
+
+
+def _counter(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys) >> np.uint64(44)).astype(np.int64)
+
+
+def _count(batches):
+    """One row for each part of the sketch."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        total += np.bincount(_counter(batch.column("keys").flatten().to_numpy().view(np.uint64)), minlength=COUNTERS)
+    cut = COUNTERS // PARTS
+    yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([total[k * cut : (k + 1) * cut].astype("<u4").tobytes() for k in range(PARTS)], pa.binary())], names=["part", "counts"])
+
+
+def _add_counts(rows):
+    import pandas as pd
+
+    return pd.DataFrame({"part": [rows.part.iloc[0]], "counts": [np.sum([np.frombuffer(c, "<u4") for c in rows.counts], 0, np.uint64).clip(0, 2**32 - 1).astype("<u4").tobytes()]})
+
+
+def _rarest(batches, t: int, counts: np.ndarray):
+    """(cls, n, s, prefix): the s shared shingles of a class, rarest first, as far as a link must reach into them."""
+    for batch in batches:
+        lists, ns = batch.column("keys"), batch.column("n").to_pylist()
+        s, out = [], []
+        for k, n in enumerate(ns):
+            key = lists[k].values.to_numpy().view(np.uint64)
+            order = np.lexsort((key, counts[_counter(key)]))
+            s.append(len(key))
+            out.append(np.sort(key[order[: len(key) - least_overlap(n, t) + 1]].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array(s, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["cls", "n", "s", "prefix"])
 
 
 def _verify(batches, t: int):
@@ -123,10 +165,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int =
     2. Each class sends its prefix, the first shingles in hash order, to one meeting of equal shingles over the whole
        corpus. The prefix is longer than the shortest valid one by slack(n); in return a class needs that many
        shared shingles to stay. Texts that share only a passage go here.
-    3. Document frequencies of shared shingles order them, rarest first, and the prefix principle holds once
-       more among them. Classes with identical prefixes and size form one group.
-    4. Groups meet by prefix shingle. Within a posting every group is first paired with one hub only, groups
-       are expanded and their pairs verified on whole sets, and links join components; ``stars`` such
+    3. Whole sets of those that stay meet once more. A class that shares less than t% of its set is done; a
+       sketch of fixed size, counted over all of them, orders shared shingles rarest first, and the prefix
+       principle holds once more among them. Classes with identical prefixes and size form one group.
+    4. Groups meet by prefix shingle, if sizes and shared counts allow a link. Within a posting every group is first
+       paired with one hub only (at first the one that shares most of its set, the likely original), groups are expanded and their pairs verified on whole sets, and links join components; ``stars`` such
        rounds leave near copies in one component. All pairs of a posting that are then still in different components are
        verified too, so no link between components is lost, while pairs inside one need no look.
     Hashes of 64 bits stand for shingles. Rows with one id are rows of their own; a null id never is a component's name
@@ -139,21 +182,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int =
     cells = meet.buckets(docs)
     sent = rows.select("text").mapInArrow(lambda b: _prefixes(b, size, t, cells), meet.SCHEMA)
     need = f"(1 + int((int(({t} * n + 99) / 100)) / 8))"
-    shared = meet.shared_keys(sent).withColumnRenamed("owner", "cls").join(classes, "cls").where(f"size(keys) >= {need}")
-    shared = table(shared.select("cls", "n", "rk", "keys"), "ngram-shared")
-    token = shared.select("cls", "n", F.explode("keys").alias("token"))
-    df = token.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ordered = token.join(df, "token").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("k")).where(f"size(k) >= {need}")
-    prefix = ordered.select("cls", "n", F.expr(f"transform(slice(k, 1, size(k) - {need} + 1), x -> x.token)").alias("prefix"))
-    prefix = table(prefix.withColumn("sig", F.xxhash64("prefix")), "ngram-prefix")
-    group = prefix.groupBy("sig", "n").agg(F.min("cls").alias("g"))
-    grouped = table(prefix.join(group, ["sig", "n"]).select("cls", "n", "g", "prefix"), "ngram-groups")
-    posting = table(grouped.where("cls = g").select("g", "n", F.explode("prefix").alias("token")), "ngram-postings")
-
+    alive = meet.shared_keys(sent).withColumnRenamed("owner", "cls").join(classes, "cls").where(f"size(keys) >= {need}").select("cls", "n", "rk")
     # whole sets, once for each class that is still here
-    alive = grouped.select("cls").join(shared.select("cls", "rk"), "cls").select("rk", "cls")
     one = rows.select("rk", "text").join(alive, "rk").dropDuplicates(["cls"])
-    sets = table(one.select("cls", "text").mapInArrow(lambda b: _sets(b, size), "cls long, items binary"), "ngram-sets")
+    sets = table(one.select("cls", "n", "text").mapInArrow(lambda b: _sets(b, size), "cls long, n long, items binary"), "ngram-sets")
+    again = meet.shared_keys(sets.select("cls", "items").mapInArrow(lambda b: _send_sets(b, cells), meet.SCHEMA)).withColumnRenamed("owner", "cls")
+    shared = table(again.join(sets.select("cls", "n"), "cls").where(f"100 * size(keys) >= {t} * n").select("cls", "n", "keys"), "ngram-shared")
+    parts = shared.select("keys").mapInArrow(_count, "part int, counts binary").groupBy("part").applyInPandas(_add_counts, "part int, counts binary").orderBy("part").collect()  # PARTS rows, 4 MB in all
+    counts = np.frombuffer(b"".join(bytes(r.counts) for r in parts), "<u4") if parts else np.zeros(COUNTERS, np.uint32)
+    prefix = shared.mapInArrow(lambda b: _rarest(b, t, counts), "cls long, n long, s long, prefix array<long>")
+    prefix = table(prefix.withColumn("sig", F.xxhash64("prefix")), "ngram-prefix")
+    group = prefix.groupBy("sig", "n").agg(F.min("cls").alias("g"))
+    grouped = table(prefix.join(group, ["sig", "n"]).select("cls", "n", "s", "g", "prefix"), "ngram-groups")
+    # a group's members may share more than its first: the most that any shares
+    most = grouped.groupBy("g").agg(F.max("s").alias("most"))
+    posting = table(grouped.where("cls = g").join(most, "g").select("g", "n", F.col("most").alias("s"), F.explode("prefix").alias("token")), "ngram-postings")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         left = sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a"))
@@ -164,11 +207,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int =
     nodes = grouped.select(F.col("cls").alias("id"))
     inside = grouped.where("cls <> g").select(F.least("cls", "g").alias("a"), F.greatest("cls", "g").alias("b"))
     tried, label = None, grouped.select("cls", F.col("cls").alias("label"))
-    fits = f"100 * least(n, hn) >= {t} * greatest(n, hn)"
+    # sizes allow a link, and both share as much as it takes
+    fits = f"100 * least(n, hn) >= {t} * greatest(n, hn) and {100 + t} * least(s, hs) >= {t} * (n + hn)"
     for k in range(stars):
         spread = posting.join(label.select(F.col("cls").alias("g"), "label"), "g")
-        hub = spread.groupBy("token").agg(F.min_by(F.struct("g", "n"), F.xxhash64("g", F.lit(k))).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        pairs = spread.join(hub.select("token", F.col("hub.g").alias("hg"), F.col("hub.n").alias("hn")), "token").where(f"g <> hg and {fits}")
+        hub = spread.groupBy("token").agg(F.max_by(F.struct("g", "n", "s"), F.struct((F.col("s") / F.col("n") if k == 0 else F.xxhash64("g", F.lit(k))).alias("rank"), "g")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        pairs = spread.join(hub.select("token", F.col("hub.g").alias("hg"), F.col("hub.n").alias("hn"), F.col("hub.s").alias("hs")), "token").where(f"g <> hg and {fits}")
         pairs = pairs.select(F.least("g", "hg").alias("a"), F.greatest("g", "hg").alias("b"))
         pairs = (pairs if k else pairs.unionByName(inside)).distinct()
         pairs = pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
@@ -176,10 +220,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int =
         tried = new if tried is None else tried.unionByName(new)
         label = table(components(nodes, tried.where("ok").select("a", "b"), f"ngram-cc{k}").select(F.col("id").alias("cls"), F.col("component").alias("label")), f"ngram-label{k}")
     # what is left: pairs of one posting, groups expanded, in different components
-    spread = grouped.select("cls", "n", F.explode("prefix").alias("token")).join(label, "cls")
+    spread = grouped.select("cls", "n", "s", F.explode("prefix").alias("token")).join(label, "cls")
     mixed = spread.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     x = spread.join(mixed, "token", "left_semi")
-    y = x.select("token", F.col("cls").alias("hc"), F.col("n").alias("hn"), F.col("label").alias("hl"))
+    y = x.select("token", F.col("cls").alias("hc"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("label").alias("hl"))
     rest = x.join(y, "token").where(f"label < hl and {fits}").select(F.least("cls", "hc").alias("a"), F.greatest("cls", "hc").alias("b")).distinct()
     last = verified(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "ngram-rest")
     links = last.where("ok")
