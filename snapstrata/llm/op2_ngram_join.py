@@ -137,7 +137,7 @@ def _rarest(batches, t: int, counts: np.ndarray):
             key = lists[k].values.to_numpy().view(np.uint64)
             order = np.lexsort((key, counts[_counter(key)]))
             s.append(len(key))
-            out.append(np.sort(key[order[: len(key) - least_overlap(n, t) + 1]].view(np.int64)))
+            out.append(key[order[: len(key) - least_overlap(n, t) + 1]].view(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array(s, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["cls", "n", "s", "prefix"])
 
 
@@ -168,7 +168,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int =
     3. Whole sets of those that stay meet once more. A class that shares less than t% of its set is done; a
        sketch of fixed size, counted over all of them, orders shared shingles rarest first, and the prefix
        principle holds once more among them. Classes with identical prefixes and size form one group.
-    4. Groups meet by prefix shingle, if sizes and shared counts allow a link. Within a posting every group is first
+    4. Groups meet by prefix shingle, if their sizes, shared counts and the shingle's positions allow a link. Within a posting every group is first
        paired with one hub only (at first the one that shares most of its set, the likely original), groups are expanded and their pairs verified on whole sets, and links join components; ``stars`` such
        rounds leave near copies in one component. All pairs of a posting that are then still in different components are
        verified too, so no link between components is lost, while pairs inside one need no look.
@@ -196,7 +196,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int =
     grouped = table(prefix.join(group, ["sig", "n"]).select("cls", "n", "s", "g", "prefix"), "ngram-groups")
     # a group's members may share more than its first: the most that any shares
     most = grouped.groupBy("g").agg(F.max("s").alias("most"))
-    posting = table(grouped.where("cls = g").join(most, "g").select("g", "n", F.col("most").alias("s"), F.explode("prefix").alias("token")), "ngram-postings")
+    posting = table(grouped.where("cls = g").join(most, "g").select("g", "n", F.col("most").alias("s"), F.posexplode("prefix").alias("pos", "token")), "ngram-postings")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         left = sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a"))
@@ -207,12 +207,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int =
     nodes = grouped.select(F.col("cls").alias("id"))
     inside = grouped.where("cls <> g").select(F.least("cls", "g").alias("a"), F.greatest("cls", "g").alias("b"))
     tried, label = None, grouped.select("cls", F.col("cls").alias("label"))
-    # sizes allow a link, and both share as much as it takes
-    fits = f"100 * least(n, hn) >= {t} * greatest(n, hn) and {100 + t} * least(s, hs) >= {t} * (n + hn)"
+    # sizes allow a link, and behind the rarest common shingle both still share as much as it takes
+    fits = f"100 * least(n, hn) >= {t} * greatest(n, hn) and {100 + t} * least(s - pos, hs - hpos) >= {t} * (n + hn)"
     for k in range(stars):
         spread = posting.join(label.select(F.col("cls").alias("g"), "label"), "g")
-        hub = spread.groupBy("token").agg(F.max_by(F.struct("g", "n", "s"), F.struct((F.col("s") / F.col("n") if k == 0 else F.xxhash64("g", F.lit(k))).alias("rank"), "g")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        pairs = spread.join(hub.select("token", F.col("hub.g").alias("hg"), F.col("hub.n").alias("hn"), F.col("hub.s").alias("hs")), "token").where(f"g <> hg and {fits}")
+        hub = spread.groupBy("token").agg(F.max_by(F.struct("g", "n", "s", "pos"), F.struct((F.col("s") / F.col("n") if k == 0 else F.xxhash64("g", F.lit(k))).alias("rank"), "g")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        pairs = spread.join(hub.select("token", F.col("hub.g").alias("hg"), F.col("hub.n").alias("hn"), F.col("hub.s").alias("hs"), F.col("hub.pos").alias("hpos")), "token").where(f"g <> hg and {fits}")
         pairs = pairs.select(F.least("g", "hg").alias("a"), F.greatest("g", "hg").alias("b"))
         pairs = (pairs if k else pairs.unionByName(inside)).distinct()
         pairs = pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
@@ -220,10 +220,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int =
         tried = new if tried is None else tried.unionByName(new)
         label = table(components(nodes, tried.where("ok").select("a", "b"), f"ngram-cc{k}").select(F.col("id").alias("cls"), F.col("component").alias("label")), f"ngram-label{k}")
     # what is left: pairs of one posting, groups expanded, in different components
-    spread = grouped.select("cls", "n", "s", F.explode("prefix").alias("token")).join(label, "cls")
+    spread = grouped.select("cls", "n", "s", F.posexplode("prefix").alias("pos", "token")).join(label, "cls")
     mixed = spread.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
     x = spread.join(mixed, "token", "left_semi")
-    y = x.select("token", F.col("cls").alias("hc"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("label").alias("hl"))
+    y = x.select("token", F.col("cls").alias("hc"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("pos").alias("hpos"), F.col("label").alias("hl"))
     rest = x.join(y, "token").where(f"label < hl and {fits}").select(F.least("cls", "hc").alias("a"), F.greatest("cls", "hc").alias("b")).distinct()
     last = verified(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "ngram-rest")
     links = last.where("ok")
