@@ -42,13 +42,19 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables written by ``table``; frames that still read them become unusable."""
+def written(spark: SparkSession) -> list[str]:
+    """Paths of the tables that ``table`` has written for a session and that are still there."""
+    return [path for owner, path in _TABLES if owner is spark]
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes these tables (all of the session's by default); frames that still read them become unusable."""
     jvm = spark.sparkContext._jvm
-    for _, path in [x for x in _TABLES if x[0] is spark]:
+    gone = set(written(spark) if paths is None else paths)
+    for path in gone:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _TABLES[:] = [x for x in _TABLES if x[0] is not spark]
+    _TABLES[:] = [x for x in _TABLES if x[1] not in gone]
 
 
 def flat(column) -> tuple[np.ndarray, np.ndarray]:

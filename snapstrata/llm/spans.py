@@ -81,3 +81,30 @@ def remove_spans(rows: DataFrame, spans: DataFrame, keep_text: bool = False) ->
     lists = spans.groupBy("rk").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = rows.select("doc_id", "rk", "text").join(lists, "rk", "left")
     return joined.mapInArrow(lambda b: _apply(b, keep_text), f"doc_id {dict(rows.dtypes)['doc_id']}, rk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if keep_text else ""))
+
+
+def _cut(batches, columns: list[str], chars: str | None):
+    for batch in batches:
+        for part in sliced(batch):
+            done = next(_apply([part.select(["text", "spans"]).append_column("doc_id", pa.nulls(part.num_rows)).append_column("rk", pa.nulls(part.num_rows))], True))
+            removed = done.column("n_removed").to_numpy()
+            texts, kept = part.column("text").to_pylist(), done.column("kept_text").to_pylist()
+            keep = np.asarray([n == 0 or bool(t) for n, t in zip(removed, kept, strict=True)], bool)
+            cols = []
+            for name in columns:
+                col = part.column(name)
+                if name == "text":
+                    col = pa.array([k if n else t for n, t, k in zip(removed, texts, kept, strict=True)], pa.string())
+                elif name == chars:
+                    col = pa.array([len(k) if n else c for n, k, c in zip(removed, kept, col.to_pylist(), strict=True)], col.type)
+                cols.append(col)
+            yield pa.RecordBatch.from_arrays(cols, names=columns).filter(pa.array(keep))
+
+
+def cut_spans(docs: DataFrame, spans: DataFrame, chars: str | None = None) -> DataFrame:
+    """docs (with a column text) without these spans of their texts, cut at whole characters; other columns stay, but for
+    ``chars``, which holds a changed text's length. A text of which nothing is left goes; untouched rows stay as they are."""
+    lists = spans.groupBy("rk").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnRenamed("rk", "__rk")
+    joined = docs.withColumn("__rk", row_key("doc_id", "text")).join(lists, "__rk", "left").select(*docs.columns, "spans")
+    names = docs.columns
+    return joined.mapInArrow(lambda b: _cut(b, names, chars if chars in names else None), docs.schema)
