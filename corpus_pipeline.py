@@ -6,15 +6,15 @@ read again before the next, so that a lost executor costs a stage's part at most
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from snapstrata.llm import op1_packing, op2_ngram_join, op3_quality, op5_exact_dedup, op8_suffix
-from snapstrata.llm.common import shared_dir
-from snapstrata.llm.spans import row_key
+from snapstrata.llm.common import release, shared_dir, table, written
+from snapstrata.llm.spans import cut_spans, keyed
 from snapstrata.session import ship
 
 #: SQL cannot state the classifier and the packing; tests hold the stages against brute-force versions.
@@ -23,19 +23,16 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier scores at 0.5 or more; labels of the corpus teach it."""
-    ship(spark)
     return op3_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    ship(spark)
     return op5_exact_dedup.exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts with a shingle similarity of 0.75 or more."""
-    ship(spark)
     return op2_ngram_join.near_dedup(docs, size=5, t=75)
 
 
@@ -43,34 +40,43 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 100-byte strings that occur earlier, cut at whole characters; n_chars follows.
 
     A document of which nothing is left goes."""
-    ship(spark)
-    left = op8_suffix.suffix_dedup(docs, length=100, keep_text=True).select(F.col("rk").alias("__rk"), F.col("n_removed").alias("__removed"), F.col("kept_text").alias("__kept")).dropDuplicates(["__rk"])
-    rows = docs.withColumn("__rk", row_key("doc_id", "text"))
-    out = rows.join(left, "__rk").where("__removed = 0 or __kept <> ''")
-    changed = F.col("__removed") > 0
-    columns = []
-    for name, kind in docs.dtypes:
-        if name == "text":
-            columns.append(F.when(changed, F.col("__kept")).otherwise(F.col("text")).alias("text"))
-        elif name == "n_chars":
-            columns.append(F.when(changed, F.char_length("__kept")).otherwise(F.col("n_chars")).cast(kind).alias("n_chars"))
-        else:
-            columns.append(F.col(name))
-    return out.select(*columns)
+    spans = table(op8_suffix.repeated_spans(keyed(docs), length=100), "pipeline-spans")
+    return cut_spans(docs, spans, chars="n_chars")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, packed into sequences of at most 1024 tokens."""
-    ship(spark)
     return op1_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+_USED: list[str] = []
+
+
+def _stage(f):
+    """Ships the package and deletes what earlier stages left in the shared folder, unless docs still reads it."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        if _USED:
+            read = docs.inputFiles()
+            free = [p for p in _USED if p in written(spark) and not any(p.removeprefix("file:").lstrip("/") in x for x in read)]
+            release(spark, free)
+            _USED[:] = [p for p in _USED if p not in free]
+        before = set(written(spark))
+        out = f(spark, docs, sf_dir)
+        _USED.extend(p for p in written(spark) if p not in before)
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", quality),
-    ("exact dedup", exact),
-    ("n-gram Jaccard join", near),
-    ("suffix-array dedup", passages),
-    ("best-fit packing", packing),
+    ("quality classifier", _stage(quality)),
+    ("exact dedup", _stage(exact)),
+    ("n-gram Jaccard join", _stage(near)),
+    ("suffix-array dedup", _stage(passages)),
+    ("best-fit packing", _stage(packing)),
 ]
 
 
