@@ -74,6 +74,8 @@ def license_scan(docs: DataFrame, anchors: int = 16, min_anchors: int = 2, min_s
     postings = {w: [(k, p) for k, (_, text, _) in enumerate(TEMPLATES) for p, x in enumerate(text.split()) if x == w] for w in rank}
     lookup = "map(" + ", ".join(f"'{w}', array({', '.join(f'named_struct({chr(39)}k{chr(39)}, {k}, {chr(39)}p{chr(39)}, {p})' for k, p in found)})" for w, found in postings.items() if found or not w) + ")"
 
+    posted = [w for w, found in postings.items() if found] or [""]  # words of base phrases alone stand in no template
+
     def places(phrase: str, array: str = "phrase_hits") -> str:
         words = phrase.split()
         test = " and ".join(f"get({array}, i + {j}).w = '{w}'" + (f" and get({array}, i + {j}).p = get({array}, i).p + {j}" if j else "") for j, w in enumerate(words))
@@ -88,7 +90,7 @@ def license_scan(docs: DataFrame, anchors: int = 16, min_anchors: int = 2, min_s
     df = df.withColumn("starts", F.concat(*[F.col(f"b{k}") for k in range(len(BASE))]))
     df = df.withColumn("base", F.array_distinct(F.expr("filter(array(" + ", ".join(f"if(size(b{k}) > 0, '{label}', null)" for k, label in enumerate(BASE.values())) + "), x -> x is not null)")))
     df = df.withColumn("ranked", F.expr(f"transform(slice(array_sort(transform(array_distinct(rare_hits.w), w -> named_struct('r', element_at({ranks}, w), 'w', w))), 1, {anchors}), x -> x.w)"))
-    df = df.withColumn("aligned", F.expr(f"flatten(transform(filter(rare_hits, h -> array_contains(ranked, h.w)), h -> transform(element_at({lookup}, h.w), q -> named_struct('k', q.k, 'o', h.p - q.p, 'p', q.p))))"))
+    df = df.withColumn("aligned", F.expr(f"flatten(transform(filter(rare_hits, h -> array_contains(ranked, h.w) and h.w in ({_text_literal(posted)})), h -> transform(element_at({lookup}, h.w), q -> named_struct('k', q.k, 'o', h.p - q.p, 'p', q.p))))"))
     # alignments with enough different anchor places; sorted, so that those of one alignment are neighbours
     df = df.withColumn("aligned", F.expr("array_sort(array_distinct(aligned))"))
     df = df.withColumn("tries", F.expr(f"array_distinct(transform(filter(if(size(aligned) < {min_anchors}, array(), sequence(0, size(aligned) - {min_anchors})), i -> get(aligned, i).k = get(aligned, i + {min_anchors - 1}).k and get(aligned, i).o = get(aligned, i + {min_anchors - 1}).o), i -> named_struct('k', get(aligned, i).k, 'o', get(aligned, i).o)))"))
