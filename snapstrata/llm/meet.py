@@ -9,17 +9,50 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from snapstrata.llm.common import mix
 
 SCHEMA = "bucket int, keys binary, owners binary, known binary"
-#: Buckets for each shuffle partition, so that hashing buckets to partitions evens out.
-PER_PARTITION = 8
+_SLOTS: dict[int, np.ndarray] = {}
 
 
 def buckets(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * PER_PARTITION
+    """As many as shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _hash_int(v: np.ndarray) -> np.ndarray:
+    """Spark's hash of an int column (Murmur3, seed 42)."""
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    k = turn(v.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def slots(n: int) -> np.ndarray:
+    """For each of n shuffle partitions an int that hashing sends there, so that buckets fill partitions evenly."""
+    if n not in _SLOTS:
+        found, start = np.full(n, -1, np.int64), 0
+        while (found < 0).any():
+            v = np.arange(start, start + 16 * n + 64, dtype=np.int32)
+            at = _hash_int(v).astype(np.int64) % n
+            for p, x in zip(at[::-1].tolist(), v[::-1].tolist(), strict=True):
+                if found[p] < start:
+                    found[p] = x
+            start += len(v)
+        _SLOTS[n] = found.astype(np.int32)
+    return _SLOTS[n]
+
+
+def _packed(at: np.ndarray, n: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket; the entries come sorted by bucket."""
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(at)) if len(at) else first
+    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(slots(n)[at[first]], pa.int32()), *map(cut, columns.values())], names=["bucket", *columns])
 
 
 def send(key: np.ndarray, owner: np.ndarray, known: np.ndarray, n: int) -> pa.RecordBatch:
@@ -32,14 +65,10 @@ def send(key: np.ndarray, owner: np.ndarray, known: np.ndarray, n: int) -> pa.Re
     known = known | np.repeat(size > 1, size)
     at = np.where(new, key, mix(owner.view(np.uint64) + key)) % np.uint64(n)
     order = np.lexsort((owner, at))  # equal owners together: they compress
-    at, key, owner, known = at[order].astype(np.int32), key[order], owner[order], known[order].astype(np.uint8)
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(at)) if len(at) else first
-    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first, last, strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(at[first], pa.int32()), cut(key), cut(owner), cut(known)], names=["bucket", "keys", "owners", "known"])
+    return _packed(at[order].astype(np.int64), n, keys=key[order], owners=owner[order], known=known[order].astype(np.uint8))
 
 
-def _meet(batches):
+def _meet(batches, n: int):
     keys, owners, known = [], [], []
     for b in batches:
         keys += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("keys")]
@@ -59,6 +88,25 @@ def _meet(batches):
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
     key, owner = key[new], owner[new]
+    at = (mix(owner.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    yield _packed(at[order], n, keys=key[order], owners=owner[order])
+
+
+def _gather(batches):
+    """(owner, keys) of the owners of a bucket."""
+    keys, owners = [], []
+    for b in batches:
+        keys += [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("keys")]
+        owners += [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("owners")]
+    if not keys:
+        return
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    order = np.lexsort((key, owner))
+    key, owner = key[order], owner[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    key, owner = key[new], owner[new]
     first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
     for a in range(0, len(first), 20_000):
         f = first[a : a + 20_000]
@@ -68,7 +116,9 @@ def _meet(batches):
 
 
 def shared_keys(sent: DataFrame) -> DataFrame:
-    """(owner, keys): for every owner its keys that another owner holds as well, or that were sent as known."""
-    n = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = sent.repartition(n, "bucket").mapInArrow(_meet, "owner long, keys array<long>")
-    return parts.groupBy("owner").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    """(owner, keys): for every owner its keys that another owner holds as well, or that were sent as known.
+
+    Both hops are packed, by key and then by owner, so rows grow with tasks and owners and not with their product."""
+    n = buckets(sent)
+    met = sent.repartition(n, "bucket").mapInArrow(lambda b: _meet(b, n), "bucket int, keys binary, owners binary")
+    return met.repartition(n, "bucket").mapInArrow(_gather, "owner long, keys array<long>")
