@@ -48,14 +48,13 @@ def license_hits(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id",
     return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.expr(hits).alias("hits"))
 
 
-def license_scan(docs: DataFrame, anchors: int = 16, min_anchors: int = 2, min_score: float = 0.5, max_df: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, anchors: int = 16, min_anchors: int = 2, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row per document.
 
     1. Every text is cut into words; the positions of template words (a fixed vocabulary) are kept.
     2. Their document frequencies over all documents give IDF weights.
-    3. A document's ``anchors`` highest-IDF template words, of those in at most ``max_df`` of all documents
-       (a word in most texts tells nothing), look up the template postings; postings agree where
-       position in text less position in template is the same. An alignment needs ``min_anchors`` different
+    3. A document's ``anchors`` highest-IDF template words, however many documents hold them, look up the
+       template postings; postings agree where position in text less position in template is the same. An alignment needs ``min_anchors`` different
        places and the template's key phrase in full at its place; its score is the share of template words
        that stand where the template has them, and from ``min_score`` its label is added.
     4. Base phrases count wherever their words stand consecutively; a base label scores 0.5 at least.
@@ -68,8 +67,7 @@ def license_scan(docs: DataFrame, anchors: int = 16, min_anchors: int = 2, min_s
     totals = hits.select(F.explode(F.array_distinct("hits.w")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")).collect()  # at most one row per vocabulary word
     n = hits.count()
     idf = {w: math.log((n + 1) / 1) for w in vocabulary} | {r.w: math.log((n + 1) / (r.df + 1)) for r in totals}
-    floor = math.log((n + 1) / (max_df * n + 1))
-    rank = {w: i for i, w in enumerate(sorted((w for w in vocabulary if idf[w] >= floor), key=lambda w: (-idf[w], w)))} or {"": 0}
+    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (-idf[w], w)))}
     ranks = "map(" + ", ".join(f"'{w}', {i}" for w, i in rank.items()) + ")"
     postings = {w: [(k, p) for k, (_, text, _) in enumerate(TEMPLATES) for p, x in enumerate(text.split()) if x == w] for w in rank}
     lookup = "map(" + ", ".join(f"'{w}', array({', '.join(f'named_struct({chr(39)}k{chr(39)}, {k}, {chr(39)}p{chr(39)}, {p})' for k, p in found)})" for w, found in postings.items() if found or not w) + ")"

@@ -242,6 +242,15 @@ def test_license(spark, empty):
     assert op7_license.license_scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("mit, other", [(1, 0), (1, 1), (2, 17), (66, 134), (200, 0)])
+def test_license_common(spark, mit, other):
+    """A template is found however many of the rows carry it, in tables of any size."""
+    text = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    df = spark.createDataFrame([(i, text) for i in range(mit)] + [(1000 + i, "filler words") for i in range(other)], "doc_id long, text string")
+    got = op7_license.license_scan(df).collect()
+    assert len(got) == mit + other and all((r.labels, r.score) == (("mit", 1.0) if r.doc_id < 1000 else ("", 0.0)) for r in got)
+
+
 def suffix_brute(rows, n=100):
     seen, out = set(), {}
     for i, text, *_ in sorted(rows, key=lambda r: r[0]):
