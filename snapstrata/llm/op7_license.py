@@ -48,15 +48,22 @@ def license_hits(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id",
     return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.expr(hits).alias("hits"))
 
 
-def license_scan(docs: DataFrame, anchors: int = 16, min_anchors: int = 2, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _key_at(body: list[str], key: list[str]) -> range:
+    """The places of the key phrase among a template's words."""
+    at = next(i for i in range(len(body)) if body[i : i + len(key)] == key)
+    return range(at, at + len(key))
+
+
+def license_scan(docs: DataFrame, anchors: int = 4, min_anchors: int = 2, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row per document.
 
     1. Every text is cut into words; the positions of template words (a fixed vocabulary) are kept.
     2. Their document frequencies over all documents give IDF weights.
-    3. A document's ``anchors`` highest-IDF template words, however many documents hold them, look up the
-       template postings; postings agree where position in text less position in template is the same. An alignment needs ``min_anchors`` different
-       places and the template's key phrase in full at its place; its score is the share of template words
-       that stand where the template has them, and from ``min_score`` its label is added.
+    3. The ``anchors`` rarest words of each template's key phrase (``min_anchors`` at least), however many documents
+       hold them, look up the template postings; postings agree where position in text less position in template is
+       the same. An alignment needs ``min_anchors`` different places (all where the key phrase is shorter) and the
+       key phrase in full at its place, so that no alignment is lost to the choice of anchors; its score is the
+       share of template words that stand where the template has them, and from ``min_score`` its label is added.
     4. Base phrases count wherever their words stand consecutively; a base label scores 0.5 at least.
 
     All of a document's work stays in its own row, so no key can be hot; the vocabulary bounds what reaches
@@ -67,12 +74,14 @@ def license_scan(docs: DataFrame, anchors: int = 16, min_anchors: int = 2, min_s
     totals = hits.select(F.explode(F.array_distinct("hits.w")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")).collect()  # at most one row per vocabulary word
     n = hits.count()
     idf = {w: math.log((n + 1) / 1) for w in vocabulary} | {r.w: math.log((n + 1) / (r.df + 1)) for r in totals}
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (-idf[w], w)))}
-    ranks = "map(" + ", ".join(f"'{w}', {i}" for w, i in rank.items()) + ")"
-    postings = {w: [(k, p) for k, (_, text, _) in enumerate(TEMPLATES) for p, x in enumerate(text.split()) if x == w] for w in rank}
-    lookup = "map(" + ", ".join(f"'{w}', array({', '.join(f'named_struct({chr(39)}k{chr(39)}, {k}, {chr(39)}p{chr(39)}, {p})' for k, p in found)})" for w, found in postings.items() if found or not w) + ")"
-
-    posted = [w for w, found in postings.items() if found] or [""]  # words of base phrases alone stand in no template
+    keys = [_key_at(text.split(), key.split()) for _, text, key in TEMPLATES]
+    postings: dict[str, list[tuple[int, int, int]]] = {}  # word -> template, place, places that must agree
+    for k, (_, text, _) in enumerate(TEMPLATES):
+        body = text.split()
+        rarest = sorted(keys[k], key=lambda p: (-idf[body[p]], body[p], p))[: max(anchors, min_anchors)]
+        for p in rarest:
+            postings.setdefault(body[p], []).append((k, p, min(min_anchors, len(rarest))))
+    lookup = "map(" + ", ".join(f"'{w}', array({', '.join(f'named_struct({chr(39)}k{chr(39)}, {k}, {chr(39)}p{chr(39)}, {p}, {chr(39)}m{chr(39)}, {m})' for k, p, m in found)})" for w, found in postings.items()) + ")"
 
     def places(phrase: str, array: str = "phrase_hits") -> str:
         words = phrase.split()
@@ -82,23 +91,24 @@ def license_scan(docs: DataFrame, anchors: int = 16, min_anchors: int = 2, min_s
     # the few hits that matter for phrases and for anchors; both arrays are short in most documents
     base_words = sorted({w for p in BASE for w in p.split()})
     df = hits.withColumn("phrase_hits", F.expr(f"filter(hits, h -> h.w in ({_text_literal(base_words)}))"))
-    df = df.withColumn("rare_hits", F.expr(f"filter(hits, h -> h.w in ({_text_literal(rank)}))"))
+    # anchors with their index among all hits: an alignment's hits lie at most its length away from there
+    df = df.withColumn("rare_hits", F.expr(f"filter(transform(hits, (h, i) -> named_struct('w', h.w, 'p', h.p, 'i', i)), h -> h.w in ({_text_literal(postings)}))"))
     for k, phrase in enumerate(BASE):
         df = df.withColumn(f"b{k}", F.expr(places(phrase)))
     df = df.withColumn("starts", F.concat(*[F.col(f"b{k}") for k in range(len(BASE))]))
     df = df.withColumn("base", F.array_distinct(F.expr("filter(array(" + ", ".join(f"if(size(b{k}) > 0, '{label}', null)" for k, label in enumerate(BASE.values())) + "), x -> x is not null)")))
-    df = df.withColumn("ranked", F.expr(f"transform(slice(array_sort(transform(array_distinct(rare_hits.w), w -> named_struct('r', element_at({ranks}, w), 'w', w))), 1, {anchors}), x -> x.w)"))
-    df = df.withColumn("aligned", F.expr(f"flatten(transform(filter(rare_hits, h -> array_contains(ranked, h.w) and h.w in ({_text_literal(posted)})), h -> transform(element_at({lookup}, h.w), q -> named_struct('k', q.k, 'o', h.p - q.p, 'p', q.p))))"))
-    # alignments with enough different anchor places; sorted, so that those of one alignment are neighbours
-    df = df.withColumn("aligned", F.expr("array_sort(array_distinct(aligned))"))
-    df = df.withColumn("tries", F.expr(f"array_distinct(transform(filter(if(size(aligned) < {min_anchors}, array(), sequence(0, size(aligned) - {min_anchors})), i -> get(aligned, i).k = get(aligned, i + {min_anchors - 1}).k and get(aligned, i).o = get(aligned, i + {min_anchors - 1}).o), i -> named_struct('k', get(aligned, i).k, 'o', get(aligned, i).o)))"))
+    df = df.withColumn("aligned", F.expr(f"array_sort(flatten(transform(rare_hits, h -> transform(element_at({lookup}, h.w), q -> named_struct('k', q.k, 'o', h.p - q.p, 'p', q.p, 'm', q.m, 'i', h.i)))))"))
+    # alignments with enough different anchor places: sorted, those of one alignment are neighbours; the first stands for them
+    same = "get(aligned, {0}).k = a.k and get(aligned, {0}).o = a.o"
+    df = df.withColumn("tries", F.expr(f"filter(aligned, (a, i) -> {same.format('i + a.m - 1')} and not coalesce({same.format('i - 1')}, false))"))
     cases = []
     for k, (label, text, key) in enumerate(TEMPLATES):
         body = text.split()
-        at = next(i for i in range(len(body)) if body[i : i + len(key.split())] == key.split())
+        at = keys[k].start
+        near = f"slice(hits, greatest(1, t.i + 2 - {len(body)}), {2 * len(body)})"
         whole = "array(" + _text_literal(body) + ")"
-        matched = f"size(filter(hits, h -> h.p >= t.o and h.p < t.o + {len(body)} and element_at({whole}, h.p - t.o + 1) = h.w)) / {len(body)}D"
-        keyed = f"size(filter(hits, h -> h.p >= t.o + {at} and h.p < t.o + {at + len(key.split())} and element_at({whole}, greatest(1, least({len(body)}, h.p - t.o + 1))) = h.w)) = {len(key.split())}"
+        matched = f"size(filter({near}, h -> h.p >= t.o and h.p < t.o + {len(body)} and element_at({whole}, h.p - t.o + 1) = h.w)) / {len(body)}D"
+        keyed = f"size(filter({near}, h -> h.p >= t.o + {at} and h.p < t.o + {at + len(key.split())} and element_at({whole}, greatest(1, least({len(body)}, h.p - t.o + 1))) = h.w)) = {len(key.split())}"
         matched = matched.replace("h.p - t.o + 1", f"greatest(1, least({len(body)}, h.p - t.o + 1))")
         cases.append(f"when t.k = {k} then named_struct('l', '{label}', 's', if({keyed}, {matched}, 0D))")
     df = df.withColumn("found", F.expr(f"filter(transform(tries, t -> case {' '.join(cases)} end), x -> x.s >= {min_score}D)"))

@@ -251,6 +251,16 @@ def test_license_common(spark, mit, other):
     assert len(got) == mit + other and all((r.labels, r.score) == (("mit", 1.0) if r.doc_id < 1000 else ("", 0.0)) for r in got)
 
 
+def test_license_many(spark):
+    """All templates of one text are found, and each of many copies costs its own words only."""
+    every = " and then ".join(text for _, text, _ in op7_license.TEMPLATES)
+    long = " ".join(f"{text} {'x ' * k}" for k in range(250) for _, text, _ in op7_license.TEMPLATES)
+    df = spark.createDataFrame([(1, every), (2, long), *((100 + i, "filler words") for i in range(200))], "doc_id long, text string")
+    got = {r.doc_id: r for r in op7_license.license_scan(df).collect()}
+    labels = sorted({label for label, _, _ in op7_license.TEMPLATES})
+    assert got[1].labels.split(",") == labels and got[2].labels.split(",") == labels and got[1].score == 1.0
+
+
 def suffix_brute(rows, n=100):
     seen, out = set(), {}
     for i, text, *_ in sorted(rows, key=lambda r: r[0]):
