@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from snapstrata.llm.common import flat, sliced, words
 
-#: At most so many labelled documents are fitted, and so many of a document's first lines while fitting (scoring reads all).
-FIT_DOCS, FIT_LINES = 4000, 64
+#: At most so many labelled documents are fitted, each with all its lines.
+FIT_DOCS = 4000
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
@@ -145,13 +145,13 @@ class LineCRF:
         return np.bincount(doc, p * size, minlength=len(counts)) / np.bincount(doc, size, minlength=len(counts))
 
 
-def _sample_features(batches, limit: int):
+def _sample_features(batches):
     for batch in batches:
         for part in sliced(batch):
             x, _, counts = line_features(*flat(part.column("text")))
             x = with_neighbours(x, counts).astype(np.float32)
             first = np.cumsum(counts) - counts
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([x[a : a + min(c, limit)].tobytes() for a, c in zip(first, counts, strict=True)], pa.binary())], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([x[a : a + c].tobytes() for a, c in zip(first, counts, strict=True)], pa.binary())], names=["label", "x"])
 
 
 def held_out(doc_id) -> F.Column:
@@ -159,14 +159,15 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_lines: int = FIT_LINES, id_col: str = "doc_id", text_col: str = "text") -> LineCRF:
+def fit_quality(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text") -> LineCRF:
     """Fits on at most fit_docs labelled rows that are not held out, those with the least id hash.
 
+    All lines of their texts teach: the number of rows bounds the driver's memory, about 1 KB a line while fitting.
     Labels that are null or contradict each other do not teach. Without any usable label every text scores 0.5."""
     usable = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most")).where("label = most")
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs).select(F.col("doc_id").alias("__id"), F.col("label").cast("int").alias("label"))
     texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("label", "text")  # at most fit_docs rows
-    rows = texts.mapInArrow(lambda b: _sample_features(b, fit_lines), "label int, x binary").limit(2 * fit_docs).collect()
+    rows = texts.mapInArrow(_sample_features, "label int, x binary").limit(2 * fit_docs).collect()
     width = 3 * N_OWN + 1
     if not rows:
         return LineCRF(np.zeros(width), np.zeros((2, 2)), np.zeros(width - 1), np.ones(width - 1))

@@ -94,6 +94,24 @@ def test_quality_edges(spark):
     assert op3_quality.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def teaching(n):
+    return [i for i in range(10 * n) if zlib.crc32(str(i).encode()) % 3 != 1][:n]
+
+
+def test_quality_fits_whole_texts(spark, monkeypatch):
+    """Every line of a sampled text teaches, as what tells the labels apart may stand at its end only."""
+    ids = teaching(20)
+    texts = ["A plain sentence.\n" * 100 + ("### $$$ 000\n" * 50 if k % 2 else "") for k in range(20)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2, 0) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(op3_quality.LineCRF, "fit", lambda x, counts, y: seen.append((x, counts, y)))
+    op3_quality.fit_quality(docs, labels)
+    x, counts, y = seen[0]
+    assert sorted(zip(y.tolist(), counts.tolist(), strict=True)) == [(0, 101)] * 10 + [(1, 151)] * 10 and len(x) == 10 * 101 + 10 * 151
+    assert (x[:, 6] > 0).sum() == 10 * 50  # the lines of marks
+
+
 def embedding_brute(rows, least=0.93):
     good = []
     for i, (_, v, label) in enumerate(rows):
