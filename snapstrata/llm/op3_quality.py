@@ -160,14 +160,16 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text") -> LineCRF:
-    """Fits on at most fit_docs labelled rows that are not held out, those with the least id hash.
+    """Fits on at most fit_docs labelled ids that are not held out, those with the least id hash. An id with several
+    rows teaches once, with the least of its texts (null counts as empty).
 
-    All lines of their texts teach: the number of rows bounds the driver's memory, about 1 KB a line while fitting.
+    All lines of their texts teach: the number of ids bounds the driver's memory, about 1 KB a line while fitting.
     Labels that are null or contradict each other do not teach. Without any usable label every text scores 0.5."""
     usable = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most")).where("label = most")
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs).select(F.col("doc_id").alias("__id"), F.col("label").cast("int").alias("label"))
-    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("label", "text")  # at most fit_docs rows
-    rows = texts.mapInArrow(_sample_features, "label int, x binary").limit(2 * fit_docs).collect()
+    texts = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
+    texts = texts.groupBy("__id").agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text")  # at most fit_docs rows
+    rows = sorted(texts.mapInArrow(_sample_features, "label int, x binary").collect(), key=lambda r: (r.label, bytes(r.x)))
     width = 3 * N_OWN + 1
     if not rows:
         return LineCRF(np.zeros(width), np.zeros((2, 2)), np.zeros(width - 1), np.ones(width - 1))

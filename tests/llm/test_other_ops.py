@@ -112,6 +112,17 @@ def test_quality_fits_whole_texts(spark, monkeypatch):
     assert (x[:, 6] > 0).sum() == 10 * 50  # the lines of marks
 
 
+def test_quality_repeated_ids(spark):
+    """Each sampled id teaches once, with the least of its texts, however many rows it has and in whatever order."""
+    ids = teaching(30)
+    rows = [(i, ("Good words stand here, in order.\n" if k % 2 else "@@@ 11 || !! x\n") * (1 + k % 3)) for k, i in enumerate(ids)]
+    labels = spark.createDataFrame([(i, k % 2, 0) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    hot = [(ids[1], rows[1][1])] * 9000 + [(ids[1], "~ another text")]
+    once = op3_quality.fit_quality(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    many = op3_quality.fit_quality(spark.createDataFrame(hot + rows, "doc_id long, text string").repartition(5), labels)
+    assert np.allclose(once.weights, many.weights) and np.allclose(once.trans, many.trans) and np.allclose(once.mean, many.mean)
+
+
 def embedding_brute(rows, least=0.93):
     good = []
     for i, (_, v, label) in enumerate(rows):
