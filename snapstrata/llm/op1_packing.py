@@ -71,17 +71,17 @@ class _Sizes:
         return 0
 
 
-def dominant_set(left: _Sizes, capacity: int) -> tuple[int, ...] | None:
-    """A set with the largest size left that provably dominates every other set with that size, or None.
+def dominant_set(left: _Sizes, capacity: int, j: int | None = None) -> tuple[int, ...] | None:
+    """A set with size j (the largest left by default) that provably dominates every other set with j, or None.
 
     Martello and Toth: a set F dominates a set G if G's members can be split into groups that each fit into the
-    place of one member of F; some optimal packing then has F as a sequence. With j the largest size, r the room
-    beside it and k the largest other size that fits r:
+    place of one member of F; some optimal packing then has F as a sequence. With r the room
+    beside j and k the largest other size that fits r:
       * nothing fits: {j};
       * k = r, or the two smallest others do not fit r together: {j, k} (whatever else goes with j fits into k's place);
       * the three smallest others do not fit together, and k with its best partner b leaves no pair whose
         smaller member exceeds b: {j, k, b} (a pair's larger member fits k's place, its smaller one b's)."""
-    j = left.order[-1]
+    j = left.order[-1] if j is None else j
     r = capacity - j
     k = left.fit(r, (j,))
     if not k:
@@ -110,25 +110,26 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     first + (r - first rank) div per and there to offset + ((r - first rank) mod per) * size. Works on the
     histogram of lengths alone, so its cost depends on the capacity, not on the number of documents.
 
-    Dominating sets are fixed, as many of a kind at once as the counts allow, and the instance shrinks, until the
-    largest size left has no provably dominating set. Best fit, largest first, packs the remainder."""
+    Dominating sets are fixed, as many of a kind at once as the counts allow, and the instance shrinks, until no
+    size left has a provably dominating set. Best fit, largest first, packs the remainder."""
     left, out, rank, bins = _Sizes(counts), [], defaultdict(int), 0
 
     def put(size: int, n: int, first: int, offset: int, per: int = 1) -> None:
         out.append((size, rank[size], n, first, offset, per))
         rank[size] += n
 
-    while left.order:
-        chosen = dominant_set(left, capacity)
-        if chosen is None:
-            break
-        times = min(left.n[s] // chosen.count(s) for s in chosen)
-        offset = 0
-        for s in chosen:
-            put(s, times, bins, offset)
-            left.take(s, times)
-            offset += s
-        bins += times
+    before = -1
+    while before != bins:  # what a pass fixes can free sizes that it had to skip
+        before = bins
+        for j in left.order[::-1]:
+            while j in left.n and (chosen := dominant_set(left, capacity, j)):
+                times = min(left.n[s] // chosen.count(s) for s in chosen)
+                offset = 0
+                for s in chosen:
+                    put(s, times, bins, offset)
+                    left.take(s, times)
+                    offset += s
+                bins += times
     # best fit, largest first, on groups of sequences with the same room: room -> [(first sequence, count)]
     rooms: dict[int, list[tuple[int, int]]] = defaultdict(list)
     order: list[int] = []

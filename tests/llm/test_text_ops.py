@@ -121,6 +121,12 @@ def test_packing_near_optimum():
     assert worse <= 2
 
 
+def test_dominance_goes_on():
+    """A size without a dominating set does not end the reduction for the smaller ones."""
+    plan = op1_packing.plan_packing({15: 1, 14: 1, 10: 1, 5: 3, 3: 2}, 20)
+    assert len({f + r // per for _, _, n, f, _, per in plan for r in range(n)}) == 3 == small_optimum([15, 14, 10, 5, 5, 5, 3, 3], 20)
+
+
 def jaccard_brute(rows, size=5, t=75):
     sets = {}
     for i, text, *_ in rows:
