@@ -215,6 +215,15 @@ def test_chat_query(spark):
         assert (x.n_turns, x.turns_sha256, x.loss_chars, x.loss_sha256) == (len(own), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_null_conversation(spark):
+    """Rows without conv_id are one conversation; large ids beside it stay exact."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for c in (None, 2**60 + 1) for t in range(5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = op10_chat.digests(op10_chat.format_trees(op10_chat.as_messages(df))).collect()
+    assert {r.conv_id for r in got} == {None, 2**60 + 1} and len(got) == 2
+    assert len({tuple(r)[1:] for r in got}) == 1 and got[0].n_turns == 5
+
+
 def test_table_is_shared(spark):
     df = table(spark.range(5), "test")
     assert df.count() == 5 and spark.conf.get("spark.checkpoint.dir") in df.inputFiles()[0].replace("file:///", "file:///")
