@@ -1,8 +1,8 @@
 """Compression and authenticated encryption of payloads.
 
 Compression is zstd in Arrow batches, as Spark has no such scalar; encryption is Spark's own AES-GCM. An envelope is
-MAGIC, a 16-byte salt, and Spark's 12-byte nonce, ciphertext and tag. The key is scrypt(password, salt); one
-salt serves one write, so that the driver derives one key for it."""
+MAGIC, a 16-byte salt, and Spark's 12-byte nonce, ciphertext and tag; its key is scrypt(password, salt). A repository seals
+with one random data key instead (salt: zeros), which is stored wrapped: in an envelope of the password."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import hashlib
 import os
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -55,6 +55,28 @@ def encrypt(payload: Column, password: str, salt: bytes) -> Column:
     return F.concat(F.lit(MAGIC), F.lit(salt), F.aes_encrypt(payload, F.lit(derive_key(password, salt)), F.lit("GCM")))
 
 
+def seal(payload: Column, key: bytes) -> Column:
+    """An envelope of a data key."""
+    return F.concat(F.lit(MAGIC), F.lit(bytes(SALT)), F.aes_encrypt(payload, F.lit(key), F.lit("GCM")))
+
+
+def unseal(payload: Column, key: bytes | None) -> Column:
+    """Back from seal; plain payloads pass. An error where the key is missing or wrong or the payload damaged."""
+    wrong = F.raise_error(F.lit("the data is encrypted: a password is needed" if key is None else "wrong password or damaged data")).cast("binary")
+    opened = wrong if key is None else F.coalesce(F.try_aes_decrypt(F.substring(payload, 5 + SALT, 2**31 - 1), F.lit(key), F.lit("GCM")), wrong)
+    return F.when(is_encrypted(payload), opened).otherwise(payload)
+
+
+def wrap_key(spark: SparkSession, key: bytes, password: str, salt: bytes) -> bytes:
+    return bytes(spark.range(1).select(encrypt(F.lit(key), password, salt).alias("w")).first().w)
+
+
+def unwrap_key(spark: SparkSession, wrapped: bytes, password: str, salt: bytes) -> bytes | None:
+    """None where the password is wrong."""
+    key = spark.range(1).select(decrypt(F.lit(wrapped), password, [salt]).alias("k")).first().k
+    return None if key is None else bytes(key)
+
+
 def salt_of(payload: Column) -> Column:
     return F.substring(payload, 5, SALT)
 

@@ -36,6 +36,11 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(F.startswith(slashes, F.lit("/")), F.substring(slashes, 2, 2**31 - 1)).otherwise(slashes)
 
 
+def safe_path(path: Column) -> Column:
+    """Whether a path is relative and stays below its root: no part is empty, . or .."""
+    return F.coalesce(~F.exists(F.split(path, "/"), lambda x: x.isin("", ".", "..")), F.lit(False)) & ~F.contains(path, F.lit("\0"))
+
+
 def normalise_only(raw: Column) -> Column:
     """A requested path: trimmed, / for \\, without leading ./ or / and without trailing /."""
     x = F.replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), F.lit("\\"), F.lit("/"))
@@ -66,11 +71,11 @@ def local_time(seconds: Column, zone: str) -> Column:
 
 def percent(processed: Column, total: Column) -> Column:
     """Whole percent; 0 of nothing is 0."""
-    return F.when(total == 0, F.lit(0)).otherwise(F.floor(processed * 100 / total)).cast("bigint")
+    return F.when(total == 0, F.lit(0)).otherwise(F.call_function("div", processed * 100, total)).cast("bigint")
 
 
 def page_count(n: Column, size: int = PAGE) -> Column:
-    return F.floor((n + size - 1) / size).cast("bigint")
+    return F.call_function("div", n + size - 1, F.lit(size)).cast("bigint")
 
 
 def mode_bits(mode: Column) -> Column:

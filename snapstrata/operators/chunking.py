@@ -34,7 +34,5 @@ def objects(files: DataFrame, size: int) -> DataFrame:
 
 
 def reassemble(chunks: DataFrame, key: list[str]) -> DataFrame:
-    """key..., content: the bytes of a file's chunks (seq, bytes) in order."""
-    parts = F.array_sort(F.collect_list(F.struct("seq", "bytes")))
-    grouped = chunks.groupBy(*key).agg(parts.alias("parts"))
-    return grouped.select(*key, F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["bytes"])).alias("content"))
+    """key..., content: the bytes of a file's chunks (seq, bytes) in order, joined in one pass over them."""
+    return chunks.groupBy(*key).agg(F.expr("listagg(bytes) within group (order by seq)").alias("content"))

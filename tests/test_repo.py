@@ -70,8 +70,10 @@ def test_encrypt_and_prune(spark, tmp_path):
     plain = Repository(spark, str(tmp_path / "store"), "k", AUTHOR)
     a = plain.backup(f"{src}/", "m", timestamp=1, chunk_size=C)
     n = plain._chunks().count()
-    assert plain.encrypt("pw") == {"encrypted": n, "already_encrypted": 0}
-    assert plain.encrypt("pw") == {"encrypted": 0, "already_encrypted": n}
+    # two index tables, the chunks and one list of files
+    assert plain.encrypt("pw") == {"encrypted": n + 3, "already_encrypted": 0}
+    assert plain.encrypt("pw") == {"encrypted": 0, "already_encrypted": n + 3}
+    assert plain._chunks().where(codec.is_encrypted(F.col("payload"))).count() == n
     assert plain.contents(a["backup"]).count() == len(FILES)
     with pytest.raises(PermissionError):
         Repository(spark, str(tmp_path / "store"), "k", AUTHOR).contents(a["backup"])
@@ -104,6 +106,234 @@ def test_resume_and_conflict(spark, tmp_path):
         Repository(spark, str(tmp_path), "k").backup(f"{src}/", "m")
 
 
+def test_two_writers(spark, tmp_path):
+    """B looks at the newest version, A commits the next one, B fails to: A's tables stay."""
+    a, b = (Repository(spark, str(tmp_path / "store"), "k", AUTHOR) for _ in "ab")
+    row = lambda h: spark.createDataFrame([(1, h, "m", 1, 1)], "ord bigint, hash string, message string, timestamp bigint, size bigint")
+    base = b.version()
+    assert a._commit(base, summaries=row("a")) == 1
+    with pytest.raises(ConflictError):
+        b._commit(base, summaries=row("b"))
+    assert [r.hash for r in b._table("summaries").collect()] == ["a"]
+    # a change is made again on what the other wrote
+    slow = []
+
+    def change(s):
+        now = b.table("summaries", s)
+        if not slow:
+            slow.append(a._commit(a.version(), summaries=a._table("summaries").unionByName(row("c"))))
+        return {"summaries": now.unionByName(row("d"))}
+
+    b.update(change)
+    assert sorted(r.hash for r in a._table("summaries").collect()) == ["a", "c", "d"]
+
+
+class Stop(Exception):
+    pass
+
+
+def stopping(repo, monkeypatch, at):
+    """Every write, marker and deletion of a repository counts as a step; the at-th raises."""
+    steps = [0]
+
+    def step(f):
+        def run(*args, **kwargs):
+            steps[0] += 1
+            if steps[0] == at:
+                raise Stop
+            return f(*args, **kwargs)
+
+        return run
+
+    for name in ("write", "_create", "_delete", "new_pack"):
+        monkeypatch.setattr(repo, name, step(getattr(repo, name)))
+    return steps
+
+
+def test_crashes(spark, tmp_path, monkeypatch):
+    """Wherever delete, prune or encrypt stops, every committed backup can be read, and a later prune leaves no garbage."""
+    import shutil
+
+    rows = lambda **files: spark.createDataFrame([(k, bytearray(v), 0o644) for k, v in files.items()], "path string, content binary, permissions int")
+    store = tmp_path / "store"
+    repo = Repository(spark, str(store), "k", AUTHOR)
+    one = repo.backup(rows(x=b"a" * 150 + b"b" * 50, y=b"c" * 90), "one", timestamp=1, chunk_size=C)["backup"]
+    two = repo.backup(rows(x=b"a" * 150, z=b"d" * 90), "two", timestamp=2, chunk_size=C)["backup"]
+    shutil.copytree(store, tmp_path / "kept")
+    want = {r.path: bytes(r.content) for r in repo.contents(two).collect()}
+    for what in (lambda r: r.delete(one), lambda r: r.encrypt("pw")):
+        at, stopped = 1, True
+        while stopped:
+            shutil.rmtree(store)
+            shutil.copytree(tmp_path / "kept", store)
+            broken = Repository(spark, str(store), "k", AUTHOR)
+            with monkeypatch.context() as m:
+                stopping(broken, m, at)
+                try:
+                    what(broken)
+                    stopped = False
+                except Stop:
+                    pass
+            again = Repository(spark, str(store), "k", AUTHOR, "pw")
+            assert {r.path: bytes(r.content) for r in again.contents(two).collect()} == want
+            at += 1
+        assert at > 4
+    # prune of a store that a stopped deletion left behind
+    shutil.rmtree(store)
+    shutil.copytree(tmp_path / "kept", store)
+    repo = Repository(spark, str(store), "k", AUTHOR)
+    with monkeypatch.context() as m:
+        m.setattr(repo, "_sweep", lambda files: (_ for _ in ()).throw(Stop))
+        with pytest.raises(Stop):
+            repo.delete(one)
+    repo = Repository(spark, str(store), "k", AUTHOR)
+    assert repo.prune(yes=True)["deleted_items"] > 0 and repo.prune(yes=True)["deleted_items"] == 0
+    assert {r.path: bytes(r.content) for r in repo.contents(two).collect()} == want
+    assert repo._chunks().count() == repo._table("chunk_index").count()
+
+
+def test_changing_file(spark, tmp_path, monkeypatch):
+    """A file that changes between the passes is read again; what is committed can be restored."""
+    src, out = tmp_path / "src", tmp_path / "out"
+    make(src, {"log": (b"1" * 200, 0o644), "still": (b"2" * 200, 0o644)})
+    repo = Repository(spark, str(tmp_path / "store"), "k", AUTHOR)
+    pack = repo.new_pack
+
+    def grow(sealed):
+        if not (src / "grown").exists():
+            make(src, {"log": (b"3" * 300, 0o644)})
+            (src / "grown").touch()
+        return pack(sealed)
+
+    monkeypatch.setattr(repo, "new_pack", grow)
+    done = repo.backup(f"{src}/", "m", timestamp=1, chunk_size=C)
+    repo.restore(done["backup"], str(out))
+    assert snapshot(out) == {"log": (b"3" * 300, 0o644), "still": (b"2" * 200, 0o644)} and len(repo.warnings) == 1
+
+
+def test_encrypted_metadata(spark, tmp_path):
+    src = tmp_path / "src"
+    make(src, FILES)
+    store = str(tmp_path / "store")
+    done = Repository(spark, store, "k", AUTHOR, "pw").backup(f"{src}/", "secret message", timestamp=1, chunk_size=C)["backup"]
+    right, wrong, none = (Repository(spark, store, "k", AUTHOR, p) for p in ("pw", "no", None))
+    assert [r.message for r in right.log().collect()] == ["secret message"] and right.tree(done).count() == len(FILES) and right.pending().count() == 0
+    for calls in ("log", "pending"), ("tree", "contents", "delete"):
+        for name in calls:
+            args = () if calls[0] == "log" else (done,)
+            for repo, text in ((wrong, "wrong password"), (none, "password is needed")):
+                with pytest.raises(PermissionError, match=text):
+                    getattr(repo, name)(*args)
+    for repo in (wrong, none):
+        with pytest.raises(PermissionError):
+            repo.backup(f"{src}/", "m", timestamp=2)
+        with pytest.raises(PermissionError):
+            repo.restore(done, str(tmp_path / "out"))
+    text = b"".join(open(p, "rb").read() for p in list_files(store))
+    assert b"secret message" not in text and b"ab/z" not in text
+    assert right.backup(f"{src}/", "again", timestamp=2, chunk_size=C)["written_bytes"] == 0
+
+
+def test_progress_and_resume(spark, tmp_path, monkeypatch):
+    """A run that is stopped after some steps shows what it uploaded; values given on resuming go before the log's."""
+    rnd = random.Random(1)
+    src, out = tmp_path / "src", tmp_path / "out"
+    make(src, {f"f{k}": (rnd.randbytes(3 * C), 0o644) for k in range(20)})
+    lines = []
+    repo = Repository(spark, str(tmp_path / "store"), "k", AUTHOR, on_event=lines.append)
+    with monkeypatch.context() as m:
+        made, pack = [], repo.new_pack
+
+        def some(sealed):
+            made.append(1)
+            if len(made) == 4:
+                raise Stop
+            return pack(sealed)
+
+        m.setattr(repo, "new_pack", some)
+        with pytest.raises(Stop):
+            repo.backup(f"{src}/", "long", timestamp=1, chunk_size=C, compress=5, ignore=["none"], checkpoint_bytes=10 * C)
+    left = repo.pending().collect()
+    assert len(left) == 1 and 0 < left[0].uploaded_chunks < 60 and (left[0].compress, left[0].chunk_size_bytes, left[0].ignored_entries) == (5, C, 1)
+    before = repo._chunks().count()
+    done = repo.backup(f"{src}/", timestamp=2, resume="", compress=7, chunk_size=C)
+    assert done["message"] == "long" and done["written_bytes"] == 60 * C and repo._chunks().count() == 60 > before >= left[0].uploaded_chunks
+    assert repo.warnings == [f"reusing from {left[0].backup[:8]}: uploaded chunks, message, ignore_patterns"]
+    assert any('"type": "progress"' in x for x in lines) and any('"type": "warning"' in x for x in lines)
+    repo.restore(done["backup"], str(out))
+    assert snapshot(out) == snapshot(src) and repo.pending().count() == 0
+    with pytest.raises(ValueError):
+        repo.backup(f"{src}/", timestamp=3)
+
+
+def test_unsafe_paths(spark, tmp_path):
+    repo = Repository(spark, str(tmp_path / "store"), "k", AUTHOR)
+    for path in ("../evil", "/etc/x", "a/../../x", "a//b", "", "."):
+        rows = spark.createDataFrame([(path, bytearray(b"x"), 0o644)], "path string, content binary, permissions int")
+        with pytest.raises(Exception, match="unsafe path"):
+            repo.backup(rows, "m", timestamp=1)
+    twice = spark.createDataFrame([("a", bytearray(b"x"), 0o644)] * 2, "path string, content binary, permissions int")
+    with pytest.raises(ValueError, match="twice"):
+        repo.backup(twice, "m", timestamp=1)
+    # a list of files that somebody else made
+    done = repo.backup(twice.limit(1), "m", timestamp=1)["backup"]
+    row = repo._table("backups").where(F.col("hash") == done).first()
+    evil = repo.tree(done).drop("backup_hash").withColumn("path", F.lit("../evil"))
+    evil.write.parquet(f"{repo.base}/objects/evil")
+    repo._commit(repo.version(), backups=spark.createDataFrame([row.asDict() | {"objects": "objects/evil"}], repo._table("backups").schema))
+    with pytest.raises(ValueError, match="unsafe path"):
+        repo.restore(done, str(tmp_path / "out" / "in"))
+    assert not (tmp_path / "out" / "evil").exists()
+
+
+def test_reads_in_proportion(spark, tmp_path):
+    """One file's restore opens the chunk files that hold its chunks, and no others."""
+    repo = Repository(spark, str(tmp_path / "store"), "k", AUTHOR)
+    rnd, ids = random.Random(3), []
+    for k in range(3):
+        rows = [(f"b{k}/{i}", bytearray(rnd.randbytes(200)), 0o644) for i in range(8)]
+        ids.append(repo.backup(spark.createDataFrame(rows, "path string, content binary, permissions int"), "m", timestamp=k, chunk_size=C)["backup"])
+    state = repo.state()
+    _, _, files = repo._wanted(ids[0], ["b0/3"], state)
+    read = repo._payloads_of(repo._named(files, state), state)
+    opened = {p for p in read.inputFiles() if "/chunks/" in p}
+    assert 0 < len(opened) <= 4 and len(opened) < len(repo.physical().inputFiles())
+    assert {os.path.basename(os.path.dirname(p)) for p in opened} <= {r.file.split("/")[0] for r in repo._named(repo.tree(ids[0]), state).collect()}
+
+
+def test_large_file(spark, tmp_path):
+    """A file that no cell could hold, backed up and restored by chunks."""
+    src, out = tmp_path / "src", tmp_path / "out"
+    src.mkdir()
+    n = (2 << 30) + 12_345
+    with open(src / "large", "wb") as f:
+        f.truncate(n)
+        f.seek(n - 5)
+        f.write(b"tail!")
+    repo = Repository(spark, str(tmp_path / "store"), "k", AUTHOR)
+    done = repo.backup(f"{src}/", "large", timestamp=1, chunk_size="16 MB")
+    assert done["files_total"] == 1 and done["written_bytes"] + done["deduplicated_bytes"] == n and done["written_bytes"] < 40_000_000
+    repo.restore(done["backup"], str(out))
+    assert os.path.getsize(out / "large") == n and os.listdir(out) == ["large"]
+    with open(out / "large", "rb") as f:
+        f.seek(n - 6)
+        assert f.read() == b"\0tail!"
+
+
+def test_settings_stay(tmp_path):
+    cat = Catalog(str(tmp_path / "storages"))
+    cat.add(Storage("disk", "local", "/x", access_key="k", secret_key="s"))
+    cat.add(Storage("far", "s3", "bucket/x", "r", "http://e"))
+    again = Catalog(str(tmp_path / "storages"))
+    assert again.list() == cat.list() and again.get("disk").secret_key == "s" and os.stat(tmp_path / "storages" / "disk.json").st_mode & 0o777 == 0o600
+    again.remove("disk")
+    assert [s["name"] for s in Catalog(str(tmp_path / "storages")).list()] == ["far"]
+    with pytest.raises(NotFoundError):
+        EngineConfig.load(str(tmp_path / "own"))
+    AUTHOR.save(str(tmp_path / "own"))
+    assert EngineConfig.load(str(tmp_path / "own")).whoami() == AUTHOR.whoami()
+
+
 def test_tree_sources(spark, tmp_path):
     make(tmp_path / "t", FILES | {"skip/me": (b"1", 0o644), "ab/skip": (b"1", 0o644)})
     os.symlink(tmp_path / "t" / "one", tmp_path / "t" / "link")
@@ -152,6 +382,8 @@ def test_small_things(spark):
         cat.get("none")
     with pytest.raises(ValueError):
         EngineConfig("Ada")
+    big = spark.range(1).select((F.lit(9 * 10**16) - 1).alias("done"), F.lit(9 * 10**16).alias("all")).select(scalars.percent(F.col("done"), F.col("all")).alias("p"), scalars.page_count(F.col("all") + 1).alias("n")).first()
+    assert (big.p, big.n) == (99, 9 * 10**15 + 1)
     assert '"percent": 0' in progress(0, 0) and '"percent": 33' in progress(1, 3)
 
 
