@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What an author and a storage name look like.
 AUTHOR = r"^[A-Za-z]+(?: [A-Za-z]+)+(?: )?<[^@ ]+@[^@ ]+\.[^@ >]+>$"
 STORAGE_NAME = r"^[A-Za-z0-9_-]*$"
 PAGE = 10
@@ -94,10 +95,12 @@ def fallback_mode(path: Column, readonly: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """For display only: decimal units with two digits."""
+    """For display only: decimal units with two digits, rounded half up in whole numbers."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in ((1, "kB"), (2, "MB"), (3, "GB"), (4, "TB"), (5, "PB")):
-        out = F.when(n >= 1000**power, F.concat(F.format_string("%.2f", n / F.lit(float(1000**power))), F.lit(f" {unit}"))).otherwise(out)
+        step = 10 * 1000 ** (power - 1)  # a hundredth of the unit
+        h = F.call_function("div", n + step // 2, F.lit(step))
+        out = F.when(n >= 1000**power, F.concat(F.call_function("div", h, F.lit(100)).cast("string"), F.lit("."), F.lpad((h % 100).cast("string"), 2, "0"), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

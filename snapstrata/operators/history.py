@@ -37,8 +37,8 @@ def resolve_pending(pending: DataFrame, prefixes: list[str]) -> DataFrame:
 
 
 def pending_list(pending: DataFrame) -> DataFrame:
-    """backup, backup_short, uploaded_chunks by name; pending: hash, processed_chunks."""
-    return pending.select(F.col("hash").alias("backup"), short(F.col("hash")).alias("backup_short"), F.size("processed_chunks").cast("bigint").alias("uploaded_chunks")).orderBy("backup")
+    """backup, backup_short, uploaded_chunks by name; pending: hash, uploaded."""
+    return pending.select(F.col("hash").alias("backup"), short(F.col("hash")).alias("backup_short"), F.col("uploaded").alias("uploaded_chunks")).orderBy("backup")
 
 
 def restore_plan(tree: DataFrame, local: DataFrame) -> DataFrame:

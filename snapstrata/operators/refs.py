@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def refcount(refs: DataFrame, key: str = "chunk_hash") -> DataFrame:
@@ -43,8 +44,8 @@ def resume(refs: DataFrame, index: DataFrame, processed: DataFrame) -> DataFrame
 def snapshot_accounting(refs: DataFrame) -> DataFrame:
     """Per snapshot in order: refs, new_chunks, written_bytes, deduplicated_bytes. A chunk is new where it first appears."""
     per = refs.groupBy("snap", "chunk_hash").agg(F.count(F.lit(1)).alias("rc"), F.max("n").alias("n"))
-    first = per.groupBy("chunk_hash").agg(F.min("snap").alias("first"))
-    x = per.join(first, "chunk_hash").withColumn("new", (F.col("snap") == F.col("first")).cast("int"))
+    # at most one row a snapshot in a window
+    x = per.withColumn("new", (F.col("snap") == F.min("snap").over(W.partitionBy("chunk_hash"))).cast("int"))
     return x.groupBy("snap").agg(F.sum("rc").cast("bigint").alias("refs"), F.sum("new").cast("bigint").alias("new_chunks"), F.sum(F.col("n") * F.col("new")).cast("bigint").alias("written_bytes"), F.sum(F.col("n") * (F.col("rc") - F.col("new"))).cast("bigint").alias("deduplicated_bytes"))
 
 

@@ -19,7 +19,7 @@ def only_select(paths: DataFrame, wanted: list[str]) -> DataFrame:
     """path, sorted and distinct: for each request the file of that exact path, else all files below it.
 
     Equi-joins of a file's ancestors to the requests, never a prefix test per pair. A request that matches nothing
-    fails the whole call."""
+    fails the whole call: the selection is computed once, kept, and asked for the requests that it answers."""
     if not wanted:
         raise ValueError("empty selection")
     spark: SparkSession = paths.sparkSession
@@ -27,9 +27,11 @@ def only_select(paths: DataFrame, wanted: list[str]) -> DataFrame:
     exact = paths.join(asked, paths.path == asked.want).select("path", "want")
     rest = asked.join(exact.select("want"), "want", "left_anti")
     below = paths.select("path", F.explode(ancestors(F.col("path"))).alias("want")).join(rest, "want").select("path", "want")
-    found = exact.unionByName(below)
-    missing = [r.want for r in asked.join(found.select("want").distinct(), "want", "left_anti").collect()]  # requests, typed by a user
+    found = exact.unionByName(below).persist()
+    answered = {r.want for r in found.select("want").distinct().collect()}  # requests, typed by a user
+    missing = sorted({normalise_only_text(w) for w in wanted} - answered)
     if missing:
+        found.unpersist()
         raise ValueError("no file matches: " + ", ".join(missing))
     return found.select("path").distinct().orderBy("path")
 

@@ -43,9 +43,8 @@ def conv_path() -> F.Column:
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """backup, chunk (text), chunk_hash."""
-    x = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("backup"), F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("chunk"))
-    return x
+    """backup, chunk (text)."""
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("backup"), F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("chunk"))
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +55,6 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """hash, processed_chunks: one log per user of the event table."""
+    """hash, uploaded: one log per user of the event table; each event is one uploaded chunk."""
     e = read(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.collect_list(F.sha2(F.encode("props", "UTF-8"), 256)).alias("processed_chunks")).select(F.sha2(F.col("user_id").cast("string"), 256).alias("hash"), "processed_chunks")
+    return e.groupBy("user_id").agg(F.count(F.lit(1)).cast("bigint").alias("uploaded")).select(F.sha2(F.col("user_id").cast("string"), 256).alias("hash"), "uploaded")

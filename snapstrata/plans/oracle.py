@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from snapstrata.functions.scalars import AUTHOR
-from snapstrata.plans.queries import IGNORE, KEY, PENDING_PREFIXES, PREFIXES, RAW_PATHS
+from snapstrata.functions.scalars import AUTHOR, PROGRAMS
+from snapstrata.plans.queries import AUTHOR as WHO
+from snapstrata.plans.queries import EXTENSIONS, IGNORE, KEY, PENDING_PREFIXES, PREFIXES, RAW_PATHS
 
 _T = "t AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' AS path, encode(text) AS b FROM documents)"
 
@@ -27,6 +28,15 @@ def _list(xs) -> str:
 _PLAN = f"""WITH {_V}, x AS (SELECT snap, conv_id, path, sha256(b) AS hash FROM v), o AS (SELECT path, hash FROM x WHERE snap = 3 AND conv_id % 7 <> 0), l AS (SELECT path, hash FROM x WHERE snap = 7 AND conv_id % 5 <> 0),
     plan AS (SELECT coalesce(o.path, l.path) AS path, CASE WHEN o.path IS NULL THEN 'delete_local' WHEN l.path IS NULL THEN 'restore_missing' WHEN o.hash = l.hash THEN 'skip' ELSE 'restore_changed' END AS action FROM o FULL JOIN l ON o.path = l.path)"""
 
+#: The sizes that queries.SIZES spells.
+_SIZES = (("5 MB", 5_000_000), ("64 KiB", 65_536), ("0", 0), ("1.5k", 1500), ("12b", 12), (" 2GB ", 2_000_000_000), ("3 tib", 3_298_534_883_328))
+_UNITS = (("PB", 10**13), ("TB", 10**10), ("GB", 10**7), ("MB", 10**4), ("kB", 10))  # hundredths in bytes
+_HUMAN = " ".join(f"WHEN bytes >= {100 * s} THEN ((bytes + {s // 2}) // {s}) // 100 || '.' || lpad((((bytes + {s // 2}) // {s}) % 100)::VARCHAR, 2, '0') || ' {u}'" for u, s in _UNITS)
+_FILES = (("a/empty", b""), ("a/.hidden", b"h"), ("_x", b"x"), ("ab/z", b"zz" * 600))
+# two backups: even documents, then all
+_E = "e AS (SELECT chunk_hash, count(*) AS rc, max(n) AS n FROM c WHERE doc_id % 2 = 0 GROUP BY 1), a AS (SELECT chunk_hash, count(*) AS rc, max(n) AS n, chunk_hash IN (SELECT chunk_hash FROM e) AS known FROM c GROUP BY 1)"
+_B = f"b AS (SELECT 'even' AS message, 1700000000 AS ts, (SELECT count(*) FROM t WHERE doc_id % 2 = 0) AS files, coalesce(sum(n), 0) AS written, coalesce(sum(n * rc), 0) AS total FROM e UNION ALL SELECT 'all', 1700086400, (SELECT count(*) FROM t), coalesce(sum(n) FILTER (NOT known), 0), coalesce(sum(n * rc), 0) FROM a), h AS (SELECT *, sha256(message || ':{WHO}:' || ts) AS hash FROM b)"
+
 ORACLES = {
     "backup_totals": f"WITH {_T}, {_chunks(1000)}, g AS (SELECT chunk_hash, count(*) AS rc, max(n) AS n FROM c GROUP BY 1) SELECT (SELECT count(*) FROM documents)::BIGINT AS files_total, count(*)::BIGINT AS distinct_chunks, sum(rc)::BIGINT AS refs, sum(n)::BIGINT AS written_bytes, sum(n * (rc - 1))::BIGINT AS deduplicated_bytes, sum(n * rc)::BIGINT AS total_bytes FROM g",
     "chunk_files": f"WITH {_T}, {_chunks(1000)} SELECT path, seq::BIGINT AS seq, chunk_hash, n FROM c",
@@ -70,4 +80,21 @@ ORACLES = {
     "backup_names": "WITH x AS (SELECT o_orderkey, sha256(o_orderpriority || ':Ada Lovelace <ada@mail.org>:' || epoch(o_orderdate)::BIGINT) AS hash FROM orders) SELECT o_orderkey, hash, hash[1:8] AS backup_short FROM x",
     "stream_refcount": "SELECT sha256(props) AS chunk_hash, count(*)::BIGINT AS refcount FROM events GROUP BY 1",
     "stream_first_seen": "SELECT DISTINCT sha256(props) AS chunk_hash FROM events",
+    "codec_roundtrip": f"WITH {_T} SELECT path, true AS ok FROM t",
+    "tree_scan": "SELECT path, size::BIGINT AS size, sha256(body) AS hash FROM (VALUES " + ", ".join(f"('{p}', {len(b)}, '{b.decode()}')" for p, b in _FILES) + ") x(path, size, body)",
+    "relative_paths": f"WITH {_T}, f AS (SELECT CASE WHEN doc_id % 3 = 0 THEN '/r' ELSE '/s\\' END || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '\\' END || path AS \"full\" FROM t), g AS (SELECT \"full\", replace(CASE WHEN starts_with(\"full\", '/r') THEN \"full\"[3:] ELSE \"full\" END, '\\', '/') AS p FROM f) SELECT \"full\", CASE WHEN p[1] = '/' THEN p[2:] ELSE p END AS path FROM g",
+    "local_times": f"WITH {_S} SELECT hash, strftime(make_timestamp((ts + 32400) * 1000000), '%Y-%m-%d %H:%M:%S') AS local FROM s",
+    "human_sizes": f"WITH x AS (SELECT DISTINCT CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 1000 ELSE round(o_totalprice * 100)::BIGINT * [1, 100, 10000, 1000000, 100000000][o_orderkey % 5 + 1] END::BIGINT AS bytes FROM orders) SELECT bytes, CASE {_HUMAN} ELSE bytes || ' B' END AS shown FROM x",
+    "parse_sizes": "SELECT text, bytes::BIGINT AS bytes FROM (VALUES " + ", ".join(f"('{x}', {n})" for x, n in _SIZES) + ") x(text, bytes)",
+    "fallback_modes": f"WITH x AS (SELECT p_partkey AS k, [{_list(EXTENSIONS)}][p_partkey % {len(EXTENSIONS)} + 1] AS ext FROM part) SELECT 'd.x/' || k || ext AS path, (292 + CASE WHEN k % 5 = 0 THEN 0 ELSE 128 END + CASE WHEN lower(ext) IN ({_list('.' + x for x in PROGRAMS)}) THEN 73 ELSE 0 END)::BIGINT AS mode FROM x",
+    "progress_events": "WITH x AS (SELECT user_id, count(*) FILTER (event_id % 3 = 0) AS processed, count(*) FILTER (event_id % 2 = 0) AS total FROM events GROUP BY user_id) SELECT user_id, '{\"type\":\"progress\",\"data\":{\"percent\":' || CASE WHEN total = 0 THEN 0 ELSE processed * 100 // total END || ',\"total\":' || total || ',\"processed\":' || processed || '}}' AS line FROM x",
+    "repository_results": f"WITH {_T}, {_chunks(1000)}, {_E}, {_B} SELECT hash AS backup, hash[1:8] AS backup_short, message, '{WHO}' AS author, ts::BIGINT AS timestamp_unix, files::BIGINT AS files_total, written::BIGINT AS written_bytes, (total - written)::BIGINT AS deduplicated_bytes FROM h",
+    "repository_log": f"WITH {_T}, {_chunks(1000)}, {_E}, {_B} SELECT hash AS backup, hash[1:8] AS backup_short, message, strftime(make_timestamp(ts::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS timestamp, ts::BIGINT AS timestamp_unix, written::BIGINT AS size_bytes FROM h",
+    "repository_tree": f"WITH {_T} SELECT sha256('even:{WHO}:1700000000') AS backup_hash, path, sha256(b) AS hash, octet_length(b)::BIGINT AS size, 'application/octet-stream' AS content_type, 420::INTEGER AS permissions, ((octet_length(b) + 999) // 1000)::BIGINT AS n_chunks FROM t WHERE doc_id % 2 = 0",
+    "repository_contents": f"WITH {_T} SELECT path, sha256(b) AS hash, octet_length(b)::BIGINT AS size, 420::INTEGER AS permissions FROM t",
+    "repository_index": f"WITH {_T}, {_chunks(1000)} SELECT chunk_hash, count(*)::BIGINT AS refcount FROM c WHERE doc_id % 2 = 0 GROUP BY 1",
+    "stored_chunks": f"WITH {_T}, {_chunks(1000)} SELECT DISTINCT chunk_hash, 1::BIGINT AS copies FROM c",
+    "repository_encrypt": f"WITH {_T}, {_chunks(1000)}, n AS (SELECT count(DISTINCT chunk_hash) + 4 AS n FROM c) SELECT 0::INTEGER AS run, n::BIGINT AS encrypted, 0::BIGINT AS already_encrypted FROM n UNION ALL SELECT 1, 0, n FROM n",
+    "repository_prune": "SELECT run::INTEGER AS run, CASE WHEN run = 1 THEN (SELECT count(*) FROM documents WHERE doc_id % 5 = 0) ELSE 0 END::BIGINT AS deleted_items, run = 0 AS aborted FROM range(3) x(run)",
+    "repository_restore": f"WITH {_T} SELECT path, sha256(b) AS hash, octet_length(b)::BIGINT AS size FROM t WHERE starts_with(path, 'src1/')",
 }

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from snapstrata.functions import codec, scalars
 from snapstrata.operators import chunking, history, refs, select
 from snapstrata.plans import fixtures as fx
+from snapstrata.repo import EngineConfig, Repository
 from snapstrata.sources import tree as tree_source
 from snapstrata.streaming import stream
 
@@ -23,6 +22,8 @@ RAW_PATHS = ["  ./a/b/ ", "././x", "/abs//path//", "a\\b\\c", ".//./y", "plain",
 PREFIXES = ["", "a", "0", "ff", "0123", "zz", "0123456789abcdef"]
 PENDING_PREFIXES = ["", "a", "f", "00", "zz"]
 PASSWORD = "correct horse"
+SIZES = ["5 MB", "64 KiB", "0", "1.5k", "12b", " 2GB ", "3 tib"]
+EXTENSIONS = [".exe", ".BAT", ".txt", "", ".ps1", ".exe.log", ".", ".msi"]
 
 
 def backup_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -258,10 +259,7 @@ def codec_roundtrip(spark, d):
 
 def tree_scan(spark, d):
     """A small generated tree, read back: empty, hidden and underscore files are kept, ignored folders are not."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)  # executors must see the tree
-    if shared and re.match(r"(?!file:)\w+:", shared):
-        raise ValueError("tree_scan needs a shared folder that is mounted as files")
-    root = tempfile.mkdtemp(prefix="snapstrata-tree-", dir=shared and re.sub("^file:/*", "/", shared))
+    root = stream.mounted(stream.scratch(spark, "tree"))
     for name, body in {"a/empty": b"", "a/.hidden": b"h", "_x": b"x", "skip/y": b"y", "ab/z": b"zz" * 600}.items():
         os.makedirs(os.path.dirname(os.path.join(root, name)), exist_ok=True)
         with open(os.path.join(root, name), "wb") as f:
@@ -270,10 +268,119 @@ def tree_scan(spark, d):
     return files.select("path", F.octet_length("content").cast("bigint").alias("size"), F.sha2("content", 256).alias("hash"))
 
 
+def relative_paths(spark, d):
+    full = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("/r")).otherwise(F.lit("/s\\")), F.when(F.col("doc_id") % 2 == 0, F.lit("/")).otherwise(F.lit("\\")), F.col("path"))
+    return fx.tree_paths(spark, d).select(full.alias("full")).select("full", scalars.relative_path(F.col("full"), "/r").alias("path"))
+
+
+def local_times(spark, d):
+    return fx.summaries(spark, d).select("hash", scalars.local_time(F.col("timestamp"), "Asia/Tokyo").alias("local"))
+
+
+def human_sizes(spark, d):
+    """Sizes of every unit from bytes to petabytes."""
+    k = F.col("o_orderkey")
+    n = F.round(F.col("o_totalprice") * 100).cast("bigint") * F.element_at(F.array(*[F.lit(10**p).cast("bigint") for p in (0, 2, 4, 6, 8)]), (k % 5 + 1).cast("int"))
+    return fx.read(spark, d, "orders").select(F.when(k % 7 == 0, k % 1000).otherwise(n).alias("bytes")).distinct().select("bytes", scalars.human_size(F.col("bytes")).alias("shown"))
+
+
+def parse_sizes(spark, d):
+    return spark.createDataFrame([(x, scalars.parse_size(x)) for x in SIZES], "text string, bytes bigint")
+
+
+def fallback_modes(spark, d):
+    """Permissions where a file system has no bits: programs by extension, writable unless read-only."""
+    ext = F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("p_partkey") % len(EXTENSIONS) + 1).cast("int"))
+    path = F.concat(F.lit("d.x/"), F.col("p_partkey").cast("string"), ext)
+    return fx.read(spark, d, "part").select(path.alias("path"), scalars.fallback_mode(path, F.col("p_partkey") % 5 == 0).cast("bigint").alias("mode"))
+
+
+def progress_events(spark, d):
+    """The lines of JSON that a reader of progress gets, one per user of the event table (driver-made text, SQL-made text)."""
+    x = progress_percent(spark, d)
+    body = F.to_json(F.struct(F.lit("progress").alias("type"), F.struct("percent", "total", "processed").alias("data")))
+    return x.select("user_id", body.alias("line"))
+
+
+# A repository in the shared folder, driven through its own methods.
+
+AUTHOR = "Ada Lovelace <ada@mail.org>"
+
+
+def _repository(spark, d, password=None):
+    """Two backups: documents with even ids, then all."""
+    repo = Repository(spark, stream.scratch(spark, "repository"), KEY, EngineConfig(AUTHOR), password)
+    files = fx.tree(spark, d)
+    first = repo.backup(files.where("doc_id % 2 = 0").select("path", "content", "permissions"), "even", timestamp=1_700_000_000, chunk_size=CHUNK)
+    second = repo.backup(files.select("path", "content", "permissions"), "all", timestamp=1_700_086_400, chunk_size=CHUNK)
+    return repo, first, second
+
+
+def repository_results(spark, d):
+    """What the two backups report."""
+    _, *done = _repository(spark, d)
+    keys = ("backup", "backup_short", "message", "author", "timestamp_unix", "files_total", "written_bytes", "deduplicated_bytes")
+    return spark.createDataFrame([tuple(x[k] for k in keys) for x in done], "backup string, backup_short string, message string, author string, timestamp_unix bigint, files_total bigint, written_bytes bigint, deduplicated_bytes bigint")
+
+
+def repository_log(spark, d):
+    return _repository(spark, d, PASSWORD)[0].log()
+
+
+def repository_tree(spark, d):
+    repo, first, _ = _repository(spark, d, PASSWORD)
+    return repo.tree(first["backup"]).select("backup_hash", "path", "hash", "size", "content_type", "permissions", F.size("chunks").cast("bigint").alias("n_chunks"))
+
+
+def repository_contents(spark, d):
+    """Encrypted, decrypted and joined again."""
+    repo, first, _ = _repository(spark, d, PASSWORD)
+    return repo.contents("").select("path", F.sha2("content", 256).alias("hash"), F.octet_length("content").cast("bigint").alias("size"), "permissions")
+
+
+def repository_index(spark, d):
+    """Reference counts once the newer backup is deleted."""
+    repo, _, second = _repository(spark, d)
+    repo.delete(second["backup_short"])
+    return repo.table("chunk_index", repo.state()).select("chunk_hash", "refcount")
+
+
+def stored_chunks(spark, d):
+    """A listing of what lies in the store itself after a deletion: orphans are gone, each other chunk is there once."""
+    repo, first, _ = _repository(spark, d)
+    repo.delete(first["backup"])
+    return repo.physical().groupBy("chunk_hash").agg(F.count(F.lit(1)).cast("bigint").alias("copies"))
+
+
+def repository_encrypt(spark, d):
+    """What is encrypted by the first call and found so by the second."""
+    repo, *_ = _repository(spark, d)
+    done = [repo.encrypt(PASSWORD) for _ in range(2)]
+    return spark.createDataFrame([(k, x["encrypted"], x["already_encrypted"]) for k, x in enumerate(done)], "run int, encrypted bigint, already_encrypted bigint")
+
+
+def repository_prune(spark, d):
+    """Chunks of a backup that never was committed, and its log."""
+    repo, *_ = _repository(spark, d)
+    stray = fx.tree(spark, d).where("doc_id % 5 = 0").select(F.concat(F.lit("stray"), F.col("path")).alias("p")).select(F.sha2("p", 256).alias("chunk_hash"), F.encode("p", "UTF-8").alias("payload"))
+    stray.write.parquet(f"{repo.base}/chunks/{repo.new_pack(False)}")
+    done = [repo.prune(), repo.prune(yes=True), repo.prune(yes=True)]
+    return spark.createDataFrame([(k, x["deleted_items"], x.get("aborted", False)) for k, x in enumerate(done)], "run int, deleted_items bigint, aborted boolean")
+
+
+def repository_restore(spark, d):
+    """Restored files as they lie on disk, read back; those of one folder only."""
+    repo, *_ = _repository(spark, d)
+    target = stream.mounted(stream.scratch(spark, "restored"))
+    repo.restore("", target, only=["src1"])
+    return chunking.file_hashes(tree_source.read_tree(spark, target + "/")).select("path", "hash", "size")
+
+
 QUERIES = {f.__name__: f for f in (
     backup_totals, chunk_files, chunk_refcount, chunk_refs, ref_index, file_hashes, tree_listing, chunk_paths, physical_chunks, snapshot_accounting, snapshot_tree,
     backup_against_index, resume_backup, delete_orphans, delete_index_after, delete_summary, prune_candidates, encrypt_worklist, encrypt_status, maybe_decrypt,
     only_select, only_normalize, path_search, ignore_filter, dir_tree, selection_rollup, cleanup_dirs, restore_plan, restore_plan_counts, restore_reassemble,
     log, log_page, recent_top10, resolve_prefix, resolve_pending, pending_list, progress_percent, author_check, permission_bits, backup_names,
-    stream_refcount, stream_first_seen, codec_roundtrip, tree_scan,
+    stream_refcount, stream_first_seen, codec_roundtrip, tree_scan, relative_paths, local_times, human_sizes, parse_sizes, fallback_modes, progress_events,
+    repository_results, repository_log, repository_tree, repository_contents, repository_index, stored_chunks, repository_encrypt, repository_prune, repository_restore,
 )}

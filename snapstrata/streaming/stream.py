@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,17 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from snapstrata.functions.scalars import sha256
 
 
-def scratch(spark: SparkSession) -> str:
+def scratch(spark: SparkSession, tag: str = "stream") -> str:
     """A new folder in the shared folder that the session names, else in the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def mounted(url: str) -> str:
+    """The plain path of a shared folder that all machines have mounted; an error for one that only Spark reads."""
+    if re.match(r"(?!file:)\w+:", url):
+        raise ValueError(f"a shared folder is needed that is mounted as files, not {url}")
+    return re.sub("^file:/*", "/", url)
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
