@@ -64,7 +64,7 @@ def _join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     return left.join(other, F.expr(" and ".join(f"{c} <=> __{c}" for c in on)), how).drop(*(f"__{c}" for c in on))
 
 
-def paths(messages: DataFrame, branches: int | None = None, max_rounds: int = 40) -> DataFrame:
+def paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     """Root-to-leaf paths of reply trees: (tree, leaf, branch_rank, branch_score, depth, msg), one row per message.
 
     messages: tree, msg, parent, score. A message whose parent is null or missing is a root. ``branches``
@@ -72,14 +72,16 @@ def paths(messages: DataFrame, branches: int | None = None, max_rounds: int = 40
 
     Jumps of 1, 2, 4, ... ancestors come from joining the jump table with itself, so a path of n
     messages takes log2(n) joins; a leaf's path is then every jump or none, level by level. Only ids and
-    scores travel. Messages on a reply cycle reach no root and belong to no path. msg must be unique in a tree.
+    scores travel. Messages on a reply cycle reach no root and belong to no path; joining ends when the largest tree's
+    number of messages is passed, as no path is longer. msg must be unique in a tree.
     Null is a tree as any other; a null msg is nobody's parent."""
     m = messages.select("tree", "msg", "parent", F.coalesce(F.col("score"), F.lit(0.0)).cast("double").alias("score"))
     up = m.select(F.col("tree").alias("t"), F.col("msg").alias("p"))
     first = m.join(up, m.tree.eqNullSafe(up.t) & (m.parent == up.p), "left").select("tree", "msg", F.col("p").alias("anc"), F.lit(1).cast("long").alias("hops"), "score")
     state = table(first, "chat-jump")
     jumps, done = [state.where("anc is not null")], [state.where("anc is null")]
-    while jumps[-1].limit(1).count() and len(jumps) <= max_rounds:  # what is left in the end lies on cycles
+    largest = state.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while 2 ** (len(jumps) - 1) < largest and jumps[-1].limit(1).count():  # what is left in the end lies on cycles
         a = jumps[-1]  # only messages that have not reached their root take part
         b = done[0]
         for x in done[1:]:
