@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import OrderedDict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from snapstrata.llm.tokens import PLAIN_SPACE, WordEncoder, load
 
 #: Mean chunk length in bytes (a power of two) and the bytes of remembered chunks in a worker.
 MEAN_CHUNK, CACHE_BYTES = 1024, 48 << 20
+#: Words on either side of a join that are encoded anew with it, if the window before did not agree.
+WINDOWS = (1, 8)
 _SPACE = re.compile(f"[{PLAIN_SPACE}]")
 _GEAR = (BYTE_VALUE >> np.uint64(32)).astype(np.uint32)
 
@@ -33,43 +36,75 @@ def cut_points(data: np.ndarray, mean: int = MEAN_CHUNK) -> np.ndarray:
     return np.flatnonzero(gear(data) < np.uint32(2**32 // mean)) + 1
 
 
+@dataclass
+class _Chunk:
+    """A chunk encoded by itself. Its text up to the first white space and from the last one on may belong to words that go on
+    in its neighbours; ids are those of the words between."""
+
+    head: str = ""
+    tail: str = ""
+    ids: bytes = b""
+    first: tuple[list[str], list[bytes]] = ((), ())  # the outermost words between, and their ids
+    last: tuple[list[str], list[bytes]] = ((), ())
+
+
 class ChunkEncoder:
-    """Encodes texts from chunks that are shared across documents; each remembered chunk is encoded once.
+    """Encodes texts from chunks that are shared across documents; each remembered chunk is encoded once, by itself.
 
-    A chunk's ids are right but at its two ends, where a word may have been cut. At every join the text from the
-    last white space of the left part to the first one of the right part is encoded anew; white space is where
-    the tokenizer always cuts, so from there on old and new ids agree exactly. A chunk without white
-    space is wholly part of the repaired text, which then reaches on into the next chunk."""
+    At every join the tokenizer itself encodes a window anew: what lies between the words known on both sides, and with it
+    the outermost of those words. Where the new ids begin with the left words' kept ids and end with the right words', old and new
+    agree on both sides, and what stands between them is the join. Otherwise the window grows, and in the end the whole text
+    is encoded at once."""
 
     def __init__(self, path: str, mean: int = MEAN_CHUNK, cache_bytes: int = CACHE_BYTES):
         self.words, self.mean, self.room = WordEncoder(path), mean, cache_bytes
-        self.known: OrderedDict[bytes, tuple[int, int, bytes]] = OrderedDict()
+        self.known: OrderedDict[bytes, _Chunk | None] = OrderedDict()
         self.used = self.hits = self.misses = 0
+        self.agreed = dict.fromkeys(WINDOWS, 0)
 
-    def chunk(self, text: str, raw: bytes) -> tuple[int, int, bytes]:
-        """(characters before the first white space, start of the last one, ids between); (-1, -1, b"") without any."""
-        found = self.known.get(raw)
-        if found is not None:
+    def chunk(self, text: str, raw: bytes) -> _Chunk | None:
+        """None for a chunk without white space."""
+        if raw in self.known:
             self.hits += 1
             self.known.move_to_end(raw)
-            return found
+            return self.known[raw]
         self.misses += 1
-        first = _SPACE.search(text)
-        if first is None:
-            found = (-1, -1, b"")
-        else:
+        first, found = _SPACE.search(text), None
+        if first is not None:
             a, b = first.start(), max(text.rfind(c) for c in PLAIN_SPACE)
-            found = (a, b, self.words.encode(text[a:b]))
+            words = self.words.words(text[a:b])
+            ids = self.words.pieces(words)
+            k = WINDOWS[-1]
+            found = _Chunk(text[:a], text[b:], b"".join(ids), (words[:k], ids[:k]), (words[-k:], ids[-k:]))
         self.known[raw] = found
-        self.used += len(raw) + len(found[2])
+        self.used += self.size(raw)
         while self.used > self.room:
-            old, dropped = self.known.popitem(last=False)
-            self.used -= len(old) + len(dropped[2])
+            old = next(iter(self.known))
+            self.used -= self.size(old)
+            del self.known[old]
         return found
 
+    def size(self, raw: bytes) -> int:
+        found = self.known[raw]
+        return len(raw) + (0 if found is None else len(found.ids))
+
+    def join(self, left: _Chunk, between: str, right: _Chunk) -> bytes | None:
+        """The ids of the text between two chunks' known words; None if no window agrees with both."""
+        if not between.strip(PLAIN_SPACE):
+            return b""
+        for k in WINDOWS:
+            before, after = (list(left.last[0])[-k:], list(left.last[1])[-k:]), (list(right.first[0])[:k], list(right.first[1])[:k])
+            head, tail = b"".join(before[1]), b"".join(after[1])
+            # known words stand behind white space: that of between, or one space for what parts them
+            new = self.words.anew(" ".join(before[0]) + between + (" " + " ".join(after[0]) if after[0] else ""))
+            if len(new) >= len(head) + len(tail) and new.startswith(head) and new.endswith(tail):
+                self.agreed[k] += 1
+                return new[len(head) : len(new) - len(tail)]
+        return None
+
     def encode(self, raw: bytes, cuts: np.ndarray) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text; cuts: byte positions inside it, ascending."""
-        out, tail, at = [], [], 0
+        out, between, left, at = [], [], _Chunk(), 0
         for end in [*cuts.tolist(), len(raw)]:
             # a cut inside a character moves behind it
             while end < len(raw) and raw[end] & 0xC0 == 0x80:
@@ -79,16 +114,20 @@ class ChunkEncoder:
             piece = raw[at:end]
             text = piece.decode("utf-8", "replace")
             at = end
-            first, last, ids = self.chunk(text, piece)
-            if first < 0:
-                tail.append(text)
+            right = self.chunk(text, piece)
+            if right is None:
+                between.append(text)
                 continue
-            tail.append(text[:first])
-            out.append(self.words.encode("".join(tail)))  # the repaired join
-            out.append(ids)
-            tail = [text[last:]]
-        out.append(self.words.encode("".join(tail)))
-        return b"".join(out)
+            between.append(right.head)
+            joined = self.join(left, "".join(between), right)
+            if joined is None:
+                return self.words.anew(raw.decode("utf-8", "replace"))
+            out += (joined, right.ids)
+            left, between = right, [right.tail]
+        joined = self.join(left, "".join(between), _Chunk())
+        if joined is None:
+            return self.words.anew(raw.decode("utf-8", "replace"))
+        return b"".join([*out, joined])
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -96,7 +135,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     ids are those of the file's tokenizer over the whole text without added special tokens; decoded is its
     decode(ids, skip_special_tokens=False). Null counts as an empty text (no ids). No shuffle; a
-    worker holds one slice of texts and a bounded store of chunks. Repeated rows give repeated results."""
+    worker holds one slice of texts (a long text alone) and a bounded store of chunks. Repeated rows give repeated results, an
+    empty table an empty one; extra columns are ignored. A tokenizer file of another kind is an error."""
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, " + ("ids array<int>, decoded string, " if keep_ids else "") + "ids_sha256 string, decoded_sha256 string"
     rows = docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text")
     return rows.mapInArrow(lambda batches: _run(batches, path, keep_ids), schema)

@@ -25,9 +25,28 @@ _WORDS = re.compile(r"[^ \t\n\r]+")
 #: Fixed: how byte-level BPE cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Fixed: the declarations of tokenizer files that the two encoders stand for. Texts may be cut around white space only under these.
+BYTE_LEVEL = {"normalizer": [], "pre_tokenizer": [("ByteLevel", None)]}
+WORD_LEVEL = {"normalizer": [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)], "pre_tokenizer": [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), ("ByteLevel", None)]}
+
 _LOADED: dict[str, object] = {}
 
 
+def declared(tokenizer) -> dict[str, list]:
+    """(type, pattern) of a tokenizer's normalizers and pre-tokenizers, in order."""
+    settings = json.loads(tokenizer.to_str())
+    out = {}
+    for part, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")):
+        found = settings[part] or {"type": "Sequence", inner: []}
+        out[part] = [(x["type"], (x.get("pattern") or {}).get("Regex")) for x in found.get(inner, [found])]
+    return out
+
+
+def require(tokenizer, kind: dict[str, list], path: str) -> None:
+    if declared(tokenizer) != kind:
+        raise ValueError(f"{path} normalises or cuts texts in another way than this encoder: {declared(tokenizer)}")
+
+
 def load(path: str):
     """The tokenizer of a file, without truncation or padding; once per worker."""
     if path not in _LOADED:
@@ -89,6 +108,7 @@ class ByteLevelEncoder:
 
     def __init__(self, path: str):
         self.cache = _Cache(load(path))
+        require(self.cache.tokenizer, BYTE_LEVEL, path)
         special = [t.content for t in self.cache.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([_ODD_SPACE.pattern, *map(re.escape, special)]))
         ranks = _byte_ranks(self.cache.tokenizer)
@@ -110,8 +130,19 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.cache = _Cache(load(path))
+        require(self.cache.tokenizer, WORD_LEVEL, path)
+
+    def words(self, text: str) -> list[str]:
+        return _WORDS.findall(text)
+
+    def pieces(self, words: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each word."""
+        self.cache.learn(words)
+        return list(map(self.cache.__getitem__, words))
+
+    def anew(self, text: str) -> bytes:
+        """The ids of a text as the tokenizer itself gives them, whatever is remembered."""
+        return self.cache.ids(text)
 
     def encode(self, text: str) -> bytes:
-        found = _WORDS.findall(text)
-        self.cache.learn(found)
-        return b"".join(map(self.cache.__getitem__, found))
+        return b"".join(self.pieces(self.words(text)))
