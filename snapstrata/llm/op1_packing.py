@@ -103,7 +103,7 @@ def dominant_set(left: _Sizes, capacity: int, j: int | None = None) -> tuple[int
     return None
 
 
-def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+def plan_packing(counts: dict[int, int], capacity: int, fixed: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int, int, int, int]]:
     """Where the documents of each length go: (size, first rank, count, first sequence, offset, per sequence).
 
     The r-th document (from 0) of a length, first rank <= r < first rank + count, goes to sequence
@@ -111,7 +111,8 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     histogram of lengths alone, so its cost depends on the capacity, not on the number of documents.
 
     Dominating sets are fixed, as many of a kind at once as the counts allow, and the instance shrinks, until no
-    size left has a provably dominating set. Best fit, largest first, packs the remainder."""
+    size left has a provably dominating set. Best fit, largest first, packs the remainder. fixed gets (size, count) of what
+    the reduction placed."""
     left, out, rank, bins = _Sizes(counts), [], defaultdict(int), 0
 
     def put(size: int, n: int, first: int, offset: int, per: int = 1) -> None:
@@ -127,6 +128,8 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
                 offset = 0
                 for s in chosen:
                     put(s, times, bins, offset)
+                    if fixed is not None:
+                        fixed.append((s, times))
                     left.take(s, times)
                     offset += s
                 bins += times
@@ -208,5 +211,6 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, capacity: int =
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: all documents packed into sequences.
 
     Null texts count as empty (one token, end_id). Repeated rows are packed each. An empty table gives
-    an empty result. Equal lengths are interchangeable: ids break ties. Extra columns are ignored."""
+    an empty result. Very long texts are encoded whole, one at a time. Equal lengths are interchangeable: ids break ties. Extra
+    columns are ignored."""
     return pack(table(token_pieces(docs, path, end_id, capacity, id_col, text_col), "token-pieces"), capacity)

@@ -54,7 +54,7 @@ def _key_at(body: list[str], key: list[str]) -> range:
     return range(at, at + len(key))
 
 
-def license_scan(docs: DataFrame, anchors: int = 4, min_anchors: int = 2, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, anchors: int = 4, min_anchors: int = 2, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score; one row per document.
 
     1. Every text is cut into words; the positions of template words (a fixed vocabulary) are kept.
@@ -68,15 +68,16 @@ def license_scan(docs: DataFrame, anchors: int = 4, min_anchors: int = 2, min_sc
 
     All of a document's work stays in its own row, so no key can be hot; the vocabulary bounds what reaches
     the driver. Null or empty texts: 0 words, null first and last word, empty labels, score 0. Repeated rows give repeated
-    results; an empty table an empty one; extra columns are ignored."""
-    vocabulary = sorted({w for _, text, _ in TEMPLATES for w in text.split()} | {w for p in BASE for w in p.split()})
+    results; an empty table an empty one; long texts are scanned whole; extra columns are ignored. ``templates``: label, words and key phrase, which is
+    a part of the words; lower-case words as in TEMPLATES."""
+    vocabulary = sorted({w for _, text, _ in templates for w in text.split()} | {w for p in BASE for w in p.split()})
     hits = table(license_hits(docs, vocabulary, id_col, text_col), "license-hits")
     totals = hits.select(F.explode(F.array_distinct("hits.w")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")).collect()  # at most one row per vocabulary word
     n = hits.count()
     idf = {w: math.log((n + 1) / 1) for w in vocabulary} | {r.w: math.log((n + 1) / (r.df + 1)) for r in totals}
-    keys = [_key_at(text.split(), key.split()) for _, text, key in TEMPLATES]
+    keys = [_key_at(text.split(), key.split()) for _, text, key in templates]
     postings: dict[str, list[tuple[int, int, int]]] = {}  # word -> template, place, places that must agree
-    for k, (_, text, _) in enumerate(TEMPLATES):
+    for k, (_, text, _) in enumerate(templates):
         body = text.split()
         rarest = sorted(keys[k], key=lambda p: (-idf[body[p]], body[p], p))[: max(anchors, min_anchors)]
         for p in rarest:
@@ -102,7 +103,7 @@ def license_scan(docs: DataFrame, anchors: int = 4, min_anchors: int = 2, min_sc
     same = "get(aligned, {0}).k = a.k and get(aligned, {0}).o = a.o"
     df = df.withColumn("tries", F.expr(f"filter(aligned, (a, i) -> {same.format('i + a.m - 1')} and not coalesce({same.format('i - 1')}, false))"))
     cases = []
-    for k, (label, text, key) in enumerate(TEMPLATES):
+    for k, (label, text, key) in enumerate(templates):
         body = text.split()
         at = keys[k].start
         near = f"slice(hits, greatest(1, t.i + 2 - {len(body)}), {2 * len(body)})"
