@@ -20,10 +20,13 @@ _TABLES: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where the session names none."""
+    """The folder in spark.checkpoint.dir. Where the session names none, an own temporary one, but only on a local master, whose
+    tasks all run on this machine; on a cluster it is an error, as executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_DIR:
         holder = tempfile.TemporaryDirectory(prefix="snapstrata-")
         atexit.register(holder.cleanup)
@@ -34,12 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
 def table(df: DataFrame, tag: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back.
 
-    The files outlive lost executors. ``release`` deletes all that a session has written."""
+    The files outlive lost executors. ``dropped`` deletes one's files, ``release`` all that a session has written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _TABLES.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that nothing reads any more."""
+    for t in tables:
+        release(t.sparkSession, [t.table_path])
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of these columns has, however they are written."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def written(spark: SparkSession) -> list[str]:
@@ -142,8 +161,9 @@ def components(nodes: DataFrame, edges: DataFrame, tag: str = "cc", max_rounds:
     pre-aggregated before its shuffle, and the joins' hot side is split by adaptive execution.
     Every round is written to the shared folder; nothing is gathered on the driver but one count."""
     both = table(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).distinct(), f"{tag}-edges")
-    label = table(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), f"{tag}-0")
+    now = table(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), f"{tag}-0")
     for k in range(1, max_rounds):
+        label = now.select("id", "label")
         near = both.join(label, both.b == label.id).groupBy("a").agg(F.min("label").alias("m"))
         spread = label.join(near, label.id == near.a).select("id", "label", F.least("label", "m").alias("step"))
         # where a better label was found for a node, its former label (a root) learns of it as well
@@ -153,9 +173,11 @@ def components(nodes: DataFrame, edges: DataFrame, tag: str = "cc", max_rounds:
         new = spread.join(up, spread.step == up.p, "left").select("id", F.least("step", "pp").alias("label"), F.col("label").alias("old"))
         new = table(new, f"{tag}-{k}")
         changed = new.where("label <> old").limit(1).count()
-        label = new.select("id", "label")
+        dropped(now, spread)
+        now = new
         if not changed:
             break
     else:
         raise RuntimeError("connected components did not settle")
-    return nodes.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+    dropped(both)
+    return nodes.join(now.select("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("component"))

@@ -16,9 +16,13 @@ SCHEMA = "bucket int, keys binary, owners binary, known binary"
 _SLOTS: dict[int, np.ndarray] = {}
 
 
-def buckets(df: DataFrame) -> int:
-    """As many as shuffle partitions."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Entries of one bucket, about 17 bytes each, that a worker holds and sorts.
+ENTRIES = 8_000_000
+
+
+def buckets(df: DataFrame, entries: int = 0) -> int:
+    """As many as shuffle partitions, and more where so many entries would make a bucket too large for a worker."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // ENTRIES))
 
 
 def _hash_int(v: np.ndarray) -> np.ndarray:
@@ -115,10 +119,9 @@ def _gather(batches):
         yield pa.RecordBatch.from_arrays([pa.array(owner[f]), lists], names=["owner", "keys"])
 
 
-def shared_keys(sent: DataFrame) -> DataFrame:
-    """(owner, keys): for every owner its keys that another owner holds as well, or that were sent as known.
+def shared_keys(sent: DataFrame, n: int) -> DataFrame:
+    """(owner, keys): for every owner its keys that another owner holds as well, or that were sent as known, to n buckets.
 
     Both hops are packed, by key and then by owner, so rows grow with tasks and owners and not with their product."""
-    n = buckets(sent)
     met = sent.repartition(n, "bucket").mapInArrow(lambda b: _meet(b, n), "bucket int, keys binary, owners binary")
     return met.repartition(n, "bucket").mapInArrow(_gather, "owner long, keys array<long>")

@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapstrata.llm import meet
-from snapstrata.llm.common import BASE, components, flat, lower_table, mix, sliced, table, words
-from snapstrata.llm.spans import keyed, row_key
+from snapstrata.llm.common import BASE, components, dropped, flat, lower_table, mix, sliced, table, words
+from snapstrata.llm.spans import keyed, one_of_each
 
 #: Fixed: words are runs of other bytes than these; A-Z are lower-cased.
 BLANK = b" \t\n\x0b\x0c\r"
 #: Classes of equal sets that a task remembers to send once.
 SEEN = 1_000_000
-#: Counters of the frequency sketch (4 MB whatever the corpus), and its parts.
-COUNTERS, PARTS = 1 << 20, 64
+#: Counters of the frequency sketch (4 MB whatever the corpus), its parts, and how many of them one task adds up.
+COUNTERS, PARTS, ADDED = 1 << 20, 64, 64
 
 _WORD = np.ones(256, bool)
 _WORD[np.frombuffer(BLANK, np.uint8)] = False
@@ -49,9 +49,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     return out
 
 
-def set_class(s: np.ndarray) -> int:
-    """One number for equal sets."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_class(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two numbers of 64 bits for equal sets; the first, cut to ``bits``, names the class unless others have it as well."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True) & ((1 << bits) - 1 if bits < 64 else -1), int.from_bytes(d[8:], "little", signed=True)
 
 
 # Sizes in whole numbers: 100 * overlap >= t * union, t in hundredths.
@@ -70,20 +71,25 @@ def prefix_length(n, t: int):
     return n - least_overlap(n, t) + slack(n)
 
 
-def _classes(batches, size: int):
+def _classes(batches, size: int, bits: int):
     for batch in batches:
         for part in sliced(batch):
             sets = shingle_sets(*flat(part.column("text")), size)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rk"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_class(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "rk", "n", "cls"])
+            names = [set_class(s, bits) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rk"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[k] for x in names], pa.int64()) for k in (0, 1))], names=["doc_id", "rk", "n", "cls", "alt"])
 
 
-def _prefixes(batches, size: int, t: int, cells: int):
+def _prefixes(batches, size: int, t: int, cells: int, bits: int, taken: set[int]):
     seen: set[int] = set()
     for batch in batches:
         for part in sliced(batch):
             keys, owners = [], []
             for s in shingle_sets(*flat(part.column("text")), size):
-                if len(s) and (c := set_class(s)) not in seen:
+                if not len(s):
+                    continue
+                c, alt = set_class(s, bits)
+                c = alt if c in taken else c
+                if c not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(c)
@@ -114,18 +120,20 @@ def _counter(keys: np.ndarray) -> np.ndarray:
 
 
 def _count(batches):
-    """One row for each part of the sketch."""
+    """One row for each part of the sketch, with the number of the task."""
+    from pyspark import TaskContext
+
     total = np.zeros(COUNTERS, np.int64)
     for batch in batches:
         total += np.bincount(_counter(batch.column("keys").flatten().to_numpy().view(np.uint64)), minlength=COUNTERS)
     cut = COUNTERS // PARTS
-    yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([total[k * cut : (k + 1) * cut].astype("<u4").tobytes() for k in range(PARTS)], pa.binary())], names=["part", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([TaskContext.get().partitionId()] * PARTS, pa.int32()), pa.array([total[k * cut : (k + 1) * cut].astype("<u4").tobytes() for k in range(PARTS)], pa.binary())], names=["part", "task", "counts"])
 
 
 def _add_counts(rows):
     import pandas as pd
 
-    return pd.DataFrame({"part": [rows.part.iloc[0]], "counts": [np.sum([np.frombuffer(c, "<u4") for c in rows.counts], 0, np.uint64).clip(0, 2**32 - 1).astype("<u4").tobytes()]})
+    return pd.DataFrame({"part": [rows.part.iloc[0]], "task": [rows.task.iloc[0]], "counts": [np.sum([np.frombuffer(c, "<u4") for c in rows.counts], 0, np.uint64).clip(0, 2**32 - 1).astype("<u4").tobytes()]})
 
 
 def _rarest(batches, t: int, counts: np.ndarray):
@@ -154,7 +162,77 @@ def _verify(batches, t: int):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok)], names=["a", "b", "ok"])
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int = 2, id_col: str = "doc_id", text_col: str = "text", row_keys: bool = False) -> DataFrame:
+class _Candidates:
+    """What both forms of the join start from: member (doc_id, rk, n, cls), sets (cls, n, items) of the classes that may link,
+    grouped (cls, n, s, g, prefix) and posting (g, n, s, pos, token), one row per group and prefix shingle."""
+
+    def __init__(self, docs: DataFrame, size: int, t: int, id_col: str, text_col: str, class_bits: int):
+        rows = keyed(docs, id_col, text_col)
+        kinds = dict(rows.dtypes)
+        member = table(rows.select("doc_id", "rk", "text").mapInArrow(lambda b: _classes(b, size, class_bits), f"doc_id {kinds['doc_id']}, rk binary, n long, cls long, alt long"), "ngram-classes")
+        named = member.where("cls is not null")
+        # names that more than one class has: none or a few, as names have 64 bits
+        taken = {r.cls for r in named.groupBy("cls").agg(F.min("alt").alias("lo"), F.max("alt").alias("hi")).where("lo <> hi").select("cls").collect()}
+        if taken:
+            member = member.withColumn("cls", F.when(F.col("cls").isin(*taken), F.col("alt")).otherwise(F.col("cls")))
+            named = member.where("cls is not null")
+        classes = named.groupBy("cls").agg(F.min("n").alias("n"), F.min("rk").alias("rk"))
+        cells = meet.buckets(docs, (member.agg(F.sum("n")).first()[0] or 0) * 3 // 8)
+        sent = rows.select("text").mapInArrow(lambda b: _prefixes(b, size, t, cells, class_bits, taken), meet.SCHEMA)
+        need = f"(1 + int((int(({t} * n + 99) / 100)) / 8))"
+        alive = meet.shared_keys(sent, cells).withColumnRenamed("owner", "cls").join(classes, "cls").where(f"size(keys) >= {need}").select("cls", "n", "rk")
+        # whole sets, once for each class that is still here
+        one = rows.select("rk", "text").join(alive, "rk").dropDuplicates(["cls"])
+        sets = table(one.select("cls", "n", "text").mapInArrow(lambda b: _sets(b, size), "cls long, n long, items binary"), "ngram-sets")
+        cells = meet.buckets(docs, sets.agg(F.sum("n")).first()[0] or 0)
+        again = meet.shared_keys(sets.select("cls", "items").mapInArrow(lambda b: _send_sets(b, cells), meet.SCHEMA), cells).withColumnRenamed("owner", "cls")
+        shared = table(again.join(sets.select("cls", "n"), "cls").where(f"100 * size(keys) >= {t} * n").select("cls", "n", "keys"), "ngram-shared")
+        schema = "part int, task int, counts binary"
+        parts = shared.select("keys").mapInArrow(_count, schema)
+        for _ in range(3):  # at most ADDED rows in a group up to ADDED ** 3 tasks
+            parts = parts.withColumn("task", (F.col("task") / ADDED).cast("int")).groupBy("part", "task").applyInPandas(_add_counts, schema)
+        parts = parts.groupBy("part").applyInPandas(_add_counts, schema).orderBy("part").collect()  # PARTS rows, 4 MB in all
+        counts = np.frombuffer(b"".join(bytes(r.counts) for r in parts), "<u4") if parts else np.zeros(COUNTERS, np.uint32)
+        prefix = shared.mapInArrow(lambda b: _rarest(b, t, counts), "cls long, n long, s long, prefix array<long>")
+        prefix = table(prefix.withColumn("sig", F.xxhash64("prefix")), "ngram-prefix")
+        group = prefix.groupBy("sig", "n").agg(F.min("cls").alias("g"))
+        grouped = table(prefix.join(group, ["sig", "n"]).select("cls", "n", "s", "g", "prefix"), "ngram-groups")
+        dropped(shared, prefix)
+        # a group's members may share more than its first: the most that any shares
+        most = grouped.groupBy("g").agg(F.max("s").alias("most"))
+        self.posting = table(grouped.where("cls = g").join(most, "g").select("g", "n", F.col("most").alias("s"), F.posexplode("prefix").alias("pos", "token")), "ngram-postings")
+        self.member, self.sets, self.grouped, self.t = member.drop("alt"), sets, grouped, t
+        # sizes allow a link, and behind the rarest common shingle both still share as much as it takes
+        self.fits = f"100 * least(n, hn) >= {t} * greatest(n, hn) and {100 + t} * least(s - pos, hs - hpos) >= {t} * (n + hn)"
+
+    def verified(self, pairs: DataFrame, tag: str) -> DataFrame:
+        """a, b, ok of pairs (a, b) of classes, by their whole sets."""
+        t = self.t
+        left = self.sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a"))
+        right = self.sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b"))
+        both = pairs.join(left, "a").join(right, "b")
+        return table(both.select("a", "b", "items_a", "items_b").mapInArrow(lambda x: _verify(x, t), "a long, b long, ok boolean"), tag)
+
+
+def jaccard_pairs(docs: DataFrame, size: int = 5, t: int = 75, id_col: str = "doc_id", text_col: str = "text", class_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): every link between different sets as a pair of classes (a < b), and doc_id, n_shingles, class_id of
+    every row. The join in full, with as many rows as there are such links; ``jaccard_components`` needs but a few of them.
+
+    Groups (same prefix and size) are paired by prefix shingle where sizes, shared counts and positions allow a link;
+    pairs of groups and the members of one group are expanded and verified. Nulls, short texts, repeated rows, empty tables and
+    extra columns are handled as in ``jaccard_components``."""
+    c = _Candidates(docs, size, t, id_col, text_col, class_bits)
+    y = c.posting.select("token", F.col("g").alias("h"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("pos").alias("hpos"))
+    met = c.posting.join(y, "token").where(f"g < h and {c.fits}").select("g", "h").distinct()
+    one = c.grouped.select("g", F.col("cls").alias("x"))
+    two = c.grouped.select(F.col("g").alias("h"), F.col("cls").alias("y"))
+    across = met.join(one, "g").join(two, "h").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    inside = one.join(two, (one.g == two.h) & (one.x < two.y)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = c.verified(across.unionByName(inside), "ngram-pairs").where("ok").select("a", "b")
+    return pairs, c.member.select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"))
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int = 2, id_col: str = "doc_id", text_col: str = "text", row_keys: bool = False, class_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id; one row per row of docs.
 
     Two texts link when 100 * |A and B| >= t * |A or B| for their sets of distinct shingles of ``size`` words (a shorter text:
@@ -172,43 +250,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int =
        paired with one hub only (at first the one that shares most of its set, the likely original), groups are expanded and their pairs verified on whole sets, and links join components; ``stars`` such
        rounds leave near copies in one component. All pairs of a posting that are then still in different components are
        verified too, so no link between components is lost, while pairs inside one need no look.
-    Hashes of 64 bits stand for shingles. Rows with one id are rows of their own; a null id never is a component's name
-    unless all its ids are null. An empty table gives an empty result. With row_keys: rk and keep_rk as well, the keys
+    Hashes of 64 bits stand for shingles; classes have 128 (``class_bits`` is there to force names to collide). Rows with one id are rows of their own; a null id never is a component's name
+    unless all its ids are null. Repeated rows are rows of one class. Long texts are read whole, by slices of rows; extra columns
+    are ignored. An empty table gives an empty result. With row_keys: rk and keep_rk as well, the keys
     (spans.row_key) of the row and of its component's first row."""
-    rows = keyed(docs, id_col, text_col)
-    kinds = dict(rows.dtypes)
-    member = table(rows.select("doc_id", "rk", "text").mapInArrow(lambda b: _classes(b, size), f"doc_id {kinds['doc_id']}, rk long, n long, cls long"), "ngram-classes")
-    classes = member.where("cls is not null").groupBy("cls").agg(F.min("n").alias("n"), F.min("rk").alias("rk"))
-    cells = meet.buckets(docs)
-    sent = rows.select("text").mapInArrow(lambda b: _prefixes(b, size, t, cells), meet.SCHEMA)
-    need = f"(1 + int((int(({t} * n + 99) / 100)) / 8))"
-    alive = meet.shared_keys(sent).withColumnRenamed("owner", "cls").join(classes, "cls").where(f"size(keys) >= {need}").select("cls", "n", "rk")
-    # whole sets, once for each class that is still here
-    one = rows.select("rk", "text").join(alive, "rk").dropDuplicates(["cls"])
-    sets = table(one.select("cls", "n", "text").mapInArrow(lambda b: _sets(b, size), "cls long, n long, items binary"), "ngram-sets")
-    again = meet.shared_keys(sets.select("cls", "items").mapInArrow(lambda b: _send_sets(b, cells), meet.SCHEMA)).withColumnRenamed("owner", "cls")
-    shared = table(again.join(sets.select("cls", "n"), "cls").where(f"100 * size(keys) >= {t} * n").select("cls", "n", "keys"), "ngram-shared")
-    parts = shared.select("keys").mapInArrow(_count, "part int, counts binary").groupBy("part").applyInPandas(_add_counts, "part int, counts binary").orderBy("part").collect()  # PARTS rows, 4 MB in all
-    counts = np.frombuffer(b"".join(bytes(r.counts) for r in parts), "<u4") if parts else np.zeros(COUNTERS, np.uint32)
-    prefix = shared.mapInArrow(lambda b: _rarest(b, t, counts), "cls long, n long, s long, prefix array<long>")
-    prefix = table(prefix.withColumn("sig", F.xxhash64("prefix")), "ngram-prefix")
-    group = prefix.groupBy("sig", "n").agg(F.min("cls").alias("g"))
-    grouped = table(prefix.join(group, ["sig", "n"]).select("cls", "n", "s", "g", "prefix"), "ngram-groups")
-    # a group's members may share more than its first: the most that any shares
-    most = grouped.groupBy("g").agg(F.max("s").alias("most"))
-    posting = table(grouped.where("cls = g").join(most, "g").select("g", "n", F.col("most").alias("s"), F.posexplode("prefix").alias("pos", "token")), "ngram-postings")
-
-    def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        left = sets.select(F.col("cls").alias("a"), F.col("items").alias("items_a"))
-        right = sets.select(F.col("cls").alias("b"), F.col("items").alias("items_b"))
-        both = pairs.join(left, "a").join(right, "b")
-        return table(both.select("a", "b", "items_a", "items_b").mapInArrow(lambda b: _verify(b, t), "a long, b long, ok boolean"), tag)
-
+    c = _Candidates(docs, size, t, id_col, text_col, class_bits)
+    member, grouped, posting, fits, verified = c.member, c.grouped, c.posting, c.fits, c.verified
     nodes = grouped.select(F.col("cls").alias("id"))
     inside = grouped.where("cls <> g").select(F.least("cls", "g").alias("a"), F.greatest("cls", "g").alias("b"))
     tried, label = None, grouped.select("cls", F.col("cls").alias("label"))
-    # sizes allow a link, and behind the rarest common shingle both still share as much as it takes
-    fits = f"100 * least(n, hn) >= {t} * greatest(n, hn) and {100 + t} * least(s - pos, hs - hpos) >= {t} * (n + hn)"
     for k in range(stars):
         spread = posting.join(label.select(F.col("cls").alias("g"), "label"), "g")
         hub = spread.groupBy("token").agg(F.max_by(F.struct("g", "n", "s", "pos"), F.struct((F.col("s") / F.col("n") if k == 0 else F.xxhash64("g", F.lit(k))).alias("rank"), "g")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
@@ -231,7 +281,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int =
         label = components(nodes, tried.where("ok").select("a", "b").unionByName(links.select("a", "b")), "ngram-cc").select(F.col("id").alias("cls"), F.col("component").alias("label"))
     named = member.join(label, "cls", "left").select("doc_id", "rk", "n", "cls", F.coalesce("label", "cls").alias("root"))
     named = table(named, "ngram-named")
-    first = named.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("first"))
+    # a table of its own, so that adaptive execution can split a root that many rows have
+    first = table(named.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("first")), "ngram-first")
     out = named.join(first, "root", "left")
     keys = ["rk", F.coalesce("first.rk", "rk").alias("keep_rk")] if row_keys else []
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), *keys)
@@ -240,5 +291,4 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int =
 def near_dedup(docs: DataFrame, size: int = 5, t: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, one of each component: that with the smallest id. Of rows that agree in id and text one stays."""
     found = jaccard_components(docs, size, t, id_col=id_col, text_col=text_col, row_keys=True)
-    keep = found.where("rk = keep_rk").select(F.col("rk").alias("__rk"))
-    return docs.withColumn("__rk", row_key(id_col, text_col)).join(keep, "__rk", "left_semi").dropDuplicates(["__rk"]).drop("__rk")
+    return one_of_each(docs, found.where("rk = keep_rk").select("rk"), id_col, text_col)

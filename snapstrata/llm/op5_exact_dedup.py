@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from snapstrata.llm.spans import row_key
+from snapstrata.llm.common import table
+from snapstrata.llm.spans import one_of_each, row_key
 
 #: Fixed characters that do not count when texts are compared: [\x20\x09-\x0D].
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -19,16 +21,21 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def _combined(docs: DataFrame, salts: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(keyed rows, one row per content with its winner and size)."""
+def _combined(rows: DataFrame, salts: int) -> DataFrame:
+    """One row per content: digest, norm, rank (of the row that stays), group_size. rows: digest, norm, salt, rank."""
+    salted = rows.groupBy("digest", "norm", "salt").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n"))
+    return salted.groupBy("digest", "norm").agg(F.min("rank").alias("rank"), F.sum("n").alias("group_size"))
+
+
+def _rows(docs: DataFrame, salts: int, id_col: str, text_col: str, digest, *more: Column) -> DataFrame:
+    """doc_id, norm, sha, digest, salt, rank; ``more`` goes into the rank, last."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.char_length(text).alias("chars"), row_key(id_col, text_col).alias("rk"))
-    keyed = rows.select("doc_id", "norm", F.sha2("norm", 256).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("rk").alias("r")).alias("rank"))
-    salted = keyed.groupBy("digest", "norm", "salt").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n"))
-    return keyed, salted.groupBy("digest", "norm").agg(F.min("rank").alias("rank"), F.sum("n").alias("group_size"))
+    rank = F.struct((-F.char_length(text)).alias("c"), F.col(id_col).isNull().alias("n"), F.col(id_col).alias("d"), *more)
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"), rank.alias("rank")).withColumn("sha", F.sha2("norm", 256))
+    return rows.select("doc_id", "norm", "sha", digest(F.col("sha")).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), "rank")
 
 
-def exact_groups(docs: DataFrame, salts: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, salts: int = 16, id_col: str = "doc_id", text_col: str = "text", digest=lambda sha: sha) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Equal texts are those that are identical without blanks. Three combining steps, each grouped by the
@@ -37,19 +44,27 @@ def exact_groups(docs: DataFrame, salts: int = 16, id_col: str = "doc_id", text_
       2. salted: rows meet by (digest, content, salt), at most 1/salts of a hot group in one task;
       3. global: at most ``salts`` winners per content meet.
     Survivors come back to the documents by digest and length as an ordinary join, whose hot keys adaptive
-    execution splits.
+    execution splits. Contents that share digest and length (a collision; ``digest`` is there to force one) are told apart by
+    the content itself; with SHA-256 there are none, and one look at the survivors says so.
 
     Null texts count as empty texts and form one group. Ties go to the smallest id. Repeated rows
     with one id count as members; each comes back. An empty table gives an empty result. Null ids are
     members too and lose every tie. Extra columns are ignored."""
-    keyed, whole = _combined(docs, salts, id_col, text_col)
-    groups = whole.select("digest", F.octet_length("norm").alias("bytes"), F.col("rank.d").alias("keep_id"), "group_size")
-    members = keyed.select("doc_id", "digest", F.octet_length("norm").alias("bytes"))
-    return members.join(groups, ["digest", "bytes"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    rows = _rows(docs, salts, id_col, text_col, digest)
+    bytes_ = F.octet_length("norm").alias("bytes")
+    same = W.partitionBy("digest", "bytes")  # more than one row only where digests collide
+    whole = _combined(rows, salts).select("digest", bytes_, "norm", F.col("rank.d").alias("keep_id"), "group_size").withColumn("clash", F.count(F.lit(1)).over(same) > 1)
+    groups = table(whole.select("digest", "bytes", F.when(F.col("clash"), F.col("norm")).alias("content"), "keep_id", "group_size", "clash"), "exact-groups")
+    members = rows.select("doc_id", "sha", "digest", bytes_)
+    found = members.join(groups.where("not clash"), ["digest", "bytes"]).select("doc_id", "keep_id", "group_size", "sha")
+    if groups.where("clash").limit(1).count():
+        clashes = groups.where("clash").select(F.col("content").alias("norm"), "keep_id", "group_size")
+        found = found.unionByName(rows.select("doc_id", "sha", "norm").join(clashes, "norm").select("doc_id", "keep_id", "group_size", "sha"))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, salts: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose row stays, with all their columns; of rows that agree in id and text one stays."""
-    _, whole = _combined(docs, salts, id_col, text_col)
-    keep = whole.select(F.col("rank.r").alias("__rk"))
-    return docs.withColumn("__rk", row_key(id_col, text_col)).join(keep, "__rk", "left_semi").dropDuplicates(["__rk"]).drop("__rk")
+    """The documents whose row stays, with all their columns; of rows that agree in id and text one stays. Nulls, ties, repeated
+    rows, empty tables and extra columns are handled as in ``exact_groups``."""
+    rows = _rows(docs, salts, id_col, text_col, lambda sha: sha, row_key(id_col, text_col).alias("r"))
+    return one_of_each(docs, _combined(rows, salts).select("rank.r"), id_col, text_col)

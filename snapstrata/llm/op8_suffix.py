@@ -6,6 +6,8 @@ strings with the same least k-gram that follow one another travel as one fragmen
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,8 +17,11 @@ from snapstrata.llm import meet
 from snapstrata.llm.common import BYTE_VALUE, flat, mix, powers, sliced, table
 from snapstrata.llm.spans import keyed, remove_spans
 
-#: Bytes of the k-grams whose hashes route strings, and fragment bytes indexed at a time (more for one hot k-gram).
+#: Bytes of the k-grams whose hashes route strings, and fragment bytes indexed at a time (more for one k-gram).
 GRAM, BLOCK_BYTES = 16, 2 << 20
+#: A k-gram in more different texts than this is hot: its strings travel one by one, each by its own hash. So many k-grams,
+#: the hottest, can be hot (8 bytes each reach the workers); what is beyond them is rarer than all keys / HOT_GRAMS.
+HOT, HOT_GRAMS = 4096, 1 << 16
 
 
 def least_grams(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -198,9 +203,10 @@ def _grams(batches, length: int, n: int):
             yield meet.send(h[own], copy[own], any_twice[own], n)
 
 
-def _fragments(batches, length: int):
-    """(h, ord, rk, start, stop, bytes, own): fragments whose k-gram repeats. Of equal ones in a slice of texts only
-    the earliest carries its bytes on; the others are already decided (bytes null) and dealt out evenly."""
+def _fragments(batches, length: int, hot: set[int]):
+    """(h, ord, rk, start, stop, bytes, own): fragments whose k-gram repeats, or their single strings where it is hot. Of
+    equal ones in a slice of texts only the earliest carries its bytes on; the others are already decided (bytes null) and
+    dealt out evenly."""
     for batch in batches:
         for part in sliced(batch):
             data, offsets = flat(part.column("text"))
@@ -213,7 +219,7 @@ def _fragments(batches, length: int):
             own = mix(h + mix(text.astype(np.uint64)))
             at = np.minimum(np.searchsorted(want, own), len(want) - 1)
             keep = np.flatnonzero(want[at] == own) if len(want) else np.zeros(0, np.int64)
-            raw, ords, rks = data.tobytes(), part.column("ord").to_numpy(), part.column("rk").to_numpy()
+            raw, ords, rks = data.tobytes(), part.column("ord").to_numpy(), part.column("rk").to_pylist()
             best: dict[bytes, tuple] = {}
             hs, os_, ks, ss, es, bs, ws = [], [], [], [], [], [], []
 
@@ -226,83 +232,103 @@ def _fragments(batches, length: int):
                 bs.append(body)
                 ws.append(own)
 
+            def meet_earlier(found: dict[bytes, tuple], body: bytes, me: tuple) -> None:
+                """The earliest of equal ones stays in found; any later one is put as decided."""
+                other = found.get(body)
+                if other is None or me[:2] < other[:2]:
+                    found[body] = me
+                    me = other
+                if me is not None and me[:2] != found[body][:2]:
+                    put(int.from_bytes(me[2][:8], "little", signed=True) ^ me[1], me[0], me[2], me[1], len(body), None)
+
             for j in keep.tolist():
                 t, s, n = int(text[j]), int(start[j]), int(count[j]) + length - 1
                 body = raw[int(offsets[t]) + s : int(offsets[t]) + s + n]
-                me = (int(ords[t]), s, int(rks[t]), int(h[j].view(np.int64)), bool(twice[j]))
-                other = best.get(body)
-                if other is None or me[:2] < other[:2]:
-                    best[body] = me
-                    me = other
-                if me is not None and me[:2] != best[body][:2]:
-                    put(me[2] ^ me[1], me[0], me[2], me[1], n, None)
+                meet_earlier(best, body, (int(ords[t]), s, rks[t], int(h[j].view(np.int64)), bool(twice[j])))
+            singles: dict[bytes, tuple] = {}
             for body, (o, s, k, key, own) in best.items():
-                put(key, o, k, s, len(body), body, own)
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(os_, pa.int64()), pa.array(ks, pa.int64()), pa.array(ss, pa.int32()), pa.array(es, pa.int32()), pa.array(bs, pa.binary()), pa.array(ws, pa.bool_())], names=["h", "ord", "rk", "start", "stop", "bytes", "own"])
-
-
-def _decide(rows: dict[bytes, list], length: int):
-    """Spans to remove among fragments with their occurrences (h, ord, start, stop, rk, own)."""
+                if key not in hot:
+                    put(key, o, k, s, len(body), body, own)
+                    continue
+                for i in range(len(body) - length + 1):
+                    meet_earlier(singles, body[i : i + length], (o, s + i, k))
+            for body, (o, s, k) in singles.items():
+                put(int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True), o, k, s, length, body)
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(os_, pa.int64()), pa.array(ks, pa.binary()), pa.array(ss, pa.int32()), pa.array(es, pa.int32()), pa.array(bs, pa.binary()), pa.array(ws, pa.bool_())], names=["h", "ord", "rk", "start", "stop", "bytes", "own"])
+
+
+def _decide(leads: dict[bytes, list], periodic: set[bytes], length: int):
+    """Spans to remove among different fragments, each with its earliest rows (h, ord, start, stop, rk)."""
     out, parts, lead = [], [], []
     variants: dict[int, int] = {}
-    for body, seen in rows.items():
-        first = min(x[1:3] for x in seen)
-        out += [(x[4], x[2], x[3]) for x in seen if x[1:3] != first]
+    for seen in leads.values():
         variants[seen[0][0]] = variants.get(seen[0][0], 0) + 1
-    for body, seen in rows.items():
-        if variants[seen[0][0]] > 1 or seen[0][5]:  # other strings could be equal to some of its own
+    for body, seen in leads.items():
+        if variants[seen[0][0]] > 1 or body in periodic:  # other strings could be equal to some of its own
             parts.append(body)
-            lead.append(min(seen, key=lambda x: x[1:3]))
+            lead.append(seen[0])
     if parts:
         for p, a, b in earlier_matches(parts, np.asarray([x[1] for x in lead]), np.asarray([x[2] for x in lead]), length):
-            seen = rows[parts[p]]
-            first = lead[p][1:3]
-            out += [(x[4], a, b) for x in seen if x[1:3] == first]
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], names=["rk", "start", "stop"])
+            out += [(x[4], a, b) for x in leads[parts[p]]]
+    return _spans(out)
+
+
+def _spans(rows: list[tuple]):
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.int32())], names=["rk", "start", "stop"])
 
 
 def _index(batches, length: int, block: int):
-    """Rows sorted by h; blocks end between two values of h."""
-    rows: dict[bytes, list] = {}
+    """Rows sorted by h, bytes, ord and start; blocks end between two values of h. Of equal fragments the first leads, later
+    ones are decided at once, so that a block holds different fragments only."""
+    leads: dict[bytes, list] = {}
+    periodic: set[bytes] = set()
     used, last = 0, None
     for batch in batches:
-        done = ([], [], [])
+        done = []
         for h, o, k, s, e, body, own in zip(*(batch.column(c).to_pylist() for c in ("h", "ord", "rk", "start", "stop", "bytes", "own")), strict=True):
             if body is None:
-                done[0].append(k)
-                done[1].append(s)
-                done[2].append(e)
+                done.append((k, s, e))
                 continue
             if used > block and h != last:
-                yield _decide(rows, length)
-                rows, used = {}, 0
+                yield _decide(leads, periodic, length)
+                leads, periodic, used = {}, set(), 0
             last = h
-            if body not in rows:
-                rows[body] = []
+            if own:
+                periodic.add(body)
+            seen = leads.get(body)
+            if seen is None:
+                leads[body] = [(h, o, s, e, k)]
                 used += len(body)
-            rows[body].append((h, o, s, e, k, own))
-        yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.int64()), pa.array(done[1], pa.int32()), pa.array(done[2], pa.int32())], names=["rk", "start", "stop"])
-    if rows:
-        yield _decide(rows, length)
+            elif (o, s) == seen[0][1:3]:  # rows of one id
+                seen.append((h, o, s, e, k))
+            else:
+                done.append((k, s, e))
+        yield _spans(done)
+    if leads:
+        yield _decide(leads, periodic, length)
 
 
-def repeated_spans(rows: DataFrame, length: int = 100, block: int = BLOCK_BYTES) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = 100, block: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """(rk, start, stop): bytes covered by strings of ``length`` bytes that also start earlier. rows: ord, rk, text."""
-    cells, n = meet.buckets(rows), rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     text = F.col("text")
-    sent = rows.select(F.xxhash64(text).alias("copy"), "text").mapInArrow(lambda b: _grams(b, length, cells), meet.SCHEMA)
-    # of equal texts the first row speaks for all; the others are covered from end to end
     place = rows.select("rk", "ord", F.xxhash64(text).alias("copy"), F.sha2(text, 256).alias("sha"), F.octet_length(text).alias("stop"))
     place = table(place.where(F.col("stop") >= length), "suffix-places")
-    first = place.groupBy("sha").agg(F.min(F.struct("ord", "rk", "copy")).alias("first"), F.count(F.lit(1)).alias("n"))
+    total = place.agg(F.sum(F.col("stop").cast("long"))).first()[0] or 0
+    cells = meet.buckets(rows, total // ((length - GRAM + 2) // 2))  # one fragment in so many bytes
+    sent = rows.select(F.xxhash64(text).alias("copy"), "text").mapInArrow(lambda b: _grams(b, length, cells), meet.SCHEMA)
+    # of equal texts the first row speaks for all; the others are covered from end to end
+    first = table(place.groupBy("sha").agg(F.min(F.struct("ord", "rk", "copy")).alias("first"), F.count(F.lit(1)).alias("n")), "suffix-first")
     copies = place.join(first.where("n > 1"), "sha").where("ord > first.ord").select("rk", F.lit(0).alias("start"), F.col("stop").cast("int").alias("stop"))
-    wanted = meet.shared_keys(sent).withColumnRenamed("owner", "copy").join(first.select("first.copy", "first.rk"), "copy").select("rk", F.col("keys").alias("grams"))
-    fragments = rows.select("rk", "ord", "text").join(wanted, "rk").mapInArrow(lambda b: _fragments(b, length), "h long, ord long, rk long, start int, stop int, bytes binary, own boolean")
-    spans = fragments.repartition(int(n), "h").sortWithinPartitions("h").mapInArrow(lambda b: _index(b, length, block), "rk long, start int, stop int")
+    shared = table(meet.shared_keys(sent, cells), "suffix-shared")
+    common = shared.select(F.explode("keys").alias("g")).groupBy("g").count().where(F.col("count") > hot)
+    common = {int(r.g) for r in common.orderBy(F.desc("count"), "g").limit(HOT_GRAMS).collect()}
+    wanted = shared.withColumnRenamed("owner", "copy").join(first.select("first.copy", "first.rk"), "copy").select("rk", F.col("keys").alias("grams"))
+    fragments = rows.select("rk", "ord", "text").join(wanted, "rk").mapInArrow(lambda b: _fragments(b, length, common), "h long, ord long, rk binary, start int, stop int, bytes binary, own boolean")
+    spans = fragments.repartition(cells, "h").sortWithinPartitions("h", "bytes", "ord", "start").mapInArrow(lambda b: _index(b, length, block), "rk binary, start int, stop int")
     return spans.unionByName(copies)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, rk, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, cut at whole characters); one row per row of docs.
 
     rk is the row key of spans.row_key. Texts are bytes in UTF-8 (null: empty). Removed is every byte covered by a string of ``length`` bytes that also
@@ -312,10 +338,13 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     0. Equal texts: all but the first are covered from end to end, and only the first goes on.
     1. Least k-gram hashes of all strings; those that occur twice anywhere are found by one shuffle of hashes.
     2. Fragments around them go to buckets by that hash (combined before the shuffle: a passage that many
-       documents share sends one row a slice of texts).
+       documents share sends one row a slice of texts). Where a k-gram is hot, as at the ends of such a passage with a
+       different neighbourhood in each document, its strings go one by one by their own hashes.
     3. Each bucket builds its run-length index and streams matching statistics; strings with a match of full
        length are chained, and all but the earliest are marked.
-    Rows with one id count as one place: equal starts are not compared. A null id comes last."""
+    Rows with one id count as one place: equal starts are not compared, and repeated rows are cut alike. A null id comes last.
+    Empty and short texts stay; long ones are read whole, by slices of rows; an empty table gives an empty result; extra columns
+    are ignored."""
     rows = keyed(docs, id_col, text_col)
-    spans = table(repeated_spans(rows, length), "suffix-spans")
+    spans = table(repeated_spans(rows, length, hot=hot), "suffix-spans")
     return remove_spans(rows, spans, keep_text)

@@ -1,4 +1,4 @@
-"""Queries of the training-data operators and, where SQL can state them, their DuckDB SQL."""
+"""Queries of the training-data operators; ``oracle`` has the DuckDB SQL of those that SQL can state."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from snapstrata.llm import op1_packing, op2_ngram_join, op3_quality, op4_bpe, op5_exact_dedup, op6_embedding, op7_license, op8_suffix, op9_cdc, op10_chat
+from snapstrata.llm.oracle import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +50,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op9_cdc.cdc_dedup(_read(spark, sf_dir, "documents"))
+    return op9_cdc.cdc_dedup(_read(spark, sf_dir, "documents"), least_run=op9_cdc.LEAST_RUN)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +73,3 @@ QUERIES = {
     "op9_cdc": op9,
     "op10_chat": op10,
 }
-
-ORACLES = {
-    "op5_exact_dedup": r"""
-        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
-        r AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(text) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d)
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
-    """,
-}
