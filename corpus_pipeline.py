@@ -1,8 +1,12 @@
 """A corpus pipeline of five stages, each one of the training-data operators.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the stage before kept and returns the columns of
-documents; the last returns packed pieces of token sequences. A stage's result is written as Parquet and
-read again before the next, so that a lost executor costs a stage's part at most."""
+documents (and any others that its input has, whatever their names); the last returns packed pieces of token sequences. A
+stage's result is written as Parquet and read again before the next, so that a lost executor costs a stage's part at most;
+once the next is written, it is deleted.
+
+In every stage a null text counts as empty, a null id is an id like any other that comes last, repeated rows are rows of
+their own unless the stage says otherwise, long texts are read whole, and an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -22,34 +26,38 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier scores at 0.5 or more; labels of the corpus teach it."""
+    """Documents that the line classifier scores at 0.5 or more; labels of the corpus teach it. Repeated rows stay or go
+    together; without labels every text scores 0.5 and stays."""
     return op3_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the longest, then the smallest id. Null and blank texts are one group; of rows
+    that agree in id and text one stays."""
     return op5_exact_dedup.exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with a shingle similarity of 0.75 or more."""
+    """One document of each component of texts with a shingle similarity of 0.75 or more: the smallest id. Texts without words
+    link with nothing and stay; of rows that agree in id and text one stays."""
     return op2_ngram_join.near_dedup(docs, size=5, t=75)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 100-byte strings that occur earlier, cut at whole characters; n_chars follows.
 
-    A document of which nothing is left goes."""
+    A document of which nothing is left goes; null and empty texts stay as they are; repeated rows are cut alike."""
     spans = table(op8_suffix.repeated_spans(keyed(docs), length=100), "pipeline-spans")
     return cut_spans(docs, spans, chars="n_chars")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, packed into sequences of at most 1024 tokens."""
+    """All documents, packed into sequences of at most 1024 tokens; null and empty texts are their end token alone, repeated rows
+    are packed each."""
     return op1_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-_USED: list[str] = []
+_USED: dict[str, list[str]] = {}  # by application: tables of earlier stages
 
 
 def _stage(f):
@@ -58,14 +66,15 @@ def _stage(f):
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
-        if _USED:
+        used = _USED.setdefault(spark.sparkContext.applicationId, [])
+        if used:
             read = docs.inputFiles()
-            free = [p for p in _USED if p in written(spark) and not any(p.removeprefix("file:").lstrip("/") in x for x in read)]
+            free = [p for p in used if p in written(spark) and not any(p.removeprefix("file:").lstrip("/") in x for x in read)]
             release(spark, free)
-            _USED[:] = [p for p in _USED if p not in free]
+            used[:] = [p for p in used if p not in free]
         before = set(written(spark))
         out = f(spark, docs, sf_dir)
-        _USED.extend(p for p in written(spark) if p not in before)
+        used.extend(p for p in written(spark) if p not in before)
         return out
 
     return run_stage
@@ -88,4 +97,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
+        if k:
+            release(spark, [f"{folder}/{k - 1}"])
     return docs
