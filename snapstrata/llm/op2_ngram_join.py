@@ -17,6 +17,10 @@ from snapstrata.llm.spans import keyed, one_of_each
 BLANK = b" \t\n\x0b\x0c\r"
 #: Classes of equal sets that a task remembers to send once.
 SEEN = 1_000_000
+#: 64-bit words of a set's bitmap: where two bitmaps differ in more bits than linked sets can differ in shingles, sets do not link.
+BITMAP = 16
+#: Hubs of a posting in the second and later rounds.
+HUBS = 8
 #: Counters of the frequency sketch (4 MB whatever the corpus), its parts, and how many of them one task adds up.
 COUNTERS, PARTS, ADDED = 1 << 20, 64, 64
 
@@ -104,7 +108,13 @@ def _sets(batches, size: int):
     for batch in batches:
         for part in sliced(batch):
             sets = shingle_sets(*flat(part.column("text")), size)
-            yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("n"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "n", "items"])
+            yield pa.RecordBatch.from_arrays([part.column("cls"), part.column("n"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(list(map(_bitmap, sets)), pa.list_(pa.int64()))], names=["cls", "n", "items", "bits"])
+
+
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    on = np.zeros(64 * BITMAP, np.uint8)
+    on[(mix(s) >> np.uint64(8)) % np.uint64(64 * BITMAP)] = 1
+    return np.packbits(on).view(np.int64)
 
 
 def _send_sets(batches, cells: int):
@@ -137,7 +147,7 @@ def _add_counts(rows):
 
 
 def _rarest(batches, t: int, counts: np.ndarray):
-    """(cls, n, s, prefix): the s shared shingles of a class, rarest first, as far as a link must reach into them."""
+    """(cls, n, bits, s, prefix): the s shared shingles of a class, rarest first, as far as a link must reach into them."""
     for batch in batches:
         lists, ns = batch.column("keys"), batch.column("n").to_pylist()
         s, out = [], []
@@ -146,7 +156,7 @@ def _rarest(batches, t: int, counts: np.ndarray):
             order = np.lexsort((key, counts[_counter(key)]))
             s.append(len(key))
             out.append(key[order[: len(key) - least_overlap(n, t) + 1]].view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array(s, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["cls", "n", "s", "prefix"])
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), batch.column("bits"), pa.array(s, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["cls", "n", "bits", "s", "prefix"])
 
 
 def _verify(batches, t: int):
@@ -164,7 +174,7 @@ def _verify(batches, t: int):
 
 class _Candidates:
     """What both forms of the join start from: member (doc_id, rk, n, cls), sets (cls, n, items) of the classes that may link,
-    grouped (cls, n, s, g, prefix) and posting (g, n, s, pos, token), one row per group and prefix shingle."""
+    grouped (cls, n, bits, s, g, prefix) and posting (g, n, s, pos, token), one row per group and prefix shingle."""
 
     def __init__(self, docs: DataFrame, size: int, t: int, id_col: str, text_col: str, class_bits: int):
         rows = keyed(docs, id_col, text_col)
@@ -183,20 +193,20 @@ class _Candidates:
         alive = meet.shared_keys(sent, cells).withColumnRenamed("owner", "cls").join(classes, "cls").where(f"size(keys) >= {need}").select("cls", "n", "rk")
         # whole sets, once for each class that is still here
         one = rows.select("rk", "text").join(alive, "rk").dropDuplicates(["cls"])
-        sets = table(one.select("cls", "n", "text").mapInArrow(lambda b: _sets(b, size), "cls long, n long, items binary"), "ngram-sets")
+        sets = table(one.select("cls", "n", "text").mapInArrow(lambda b: _sets(b, size), "cls long, n long, items binary, bits array<long>"), "ngram-sets")
         cells = meet.buckets(docs, sets.agg(F.sum("n")).first()[0] or 0)
         again = meet.shared_keys(sets.select("cls", "items").mapInArrow(lambda b: _send_sets(b, cells), meet.SCHEMA), cells).withColumnRenamed("owner", "cls")
-        shared = table(again.join(sets.select("cls", "n"), "cls").where(f"100 * size(keys) >= {t} * n").select("cls", "n", "keys"), "ngram-shared")
+        shared = table(again.join(sets.select("cls", "n", "bits"), "cls").where(f"100 * size(keys) >= {t} * n").select("cls", "n", "bits", "keys"), "ngram-shared")
         schema = "part int, task int, counts binary"
         parts = shared.select("keys").mapInArrow(_count, schema)
         for _ in range(3):  # at most ADDED rows in a group up to ADDED ** 3 tasks
             parts = parts.withColumn("task", (F.col("task") / ADDED).cast("int")).groupBy("part", "task").applyInPandas(_add_counts, schema)
         parts = parts.groupBy("part").applyInPandas(_add_counts, schema).orderBy("part").collect()  # PARTS rows, 4 MB in all
         counts = np.frombuffer(b"".join(bytes(r.counts) for r in parts), "<u4") if parts else np.zeros(COUNTERS, np.uint32)
-        prefix = shared.mapInArrow(lambda b: _rarest(b, t, counts), "cls long, n long, s long, prefix array<long>")
+        prefix = shared.mapInArrow(lambda b: _rarest(b, t, counts), "cls long, n long, bits array<long>, s long, prefix array<long>")
         prefix = table(prefix.withColumn("sig", F.xxhash64("prefix")), "ngram-prefix")
         group = prefix.groupBy("sig", "n").agg(F.min("cls").alias("g"))
-        grouped = table(prefix.join(group, ["sig", "n"]).select("cls", "n", "s", "g", "prefix"), "ngram-groups")
+        grouped = table(prefix.join(group, ["sig", "n"]).select("cls", "n", "bits", "s", "g", "prefix"), "ngram-groups")
         dropped(shared, prefix)
         # a group's members may share more than its first: the most that any shares
         most = grouped.groupBy("g").agg(F.max("s").alias("most"))
@@ -204,6 +214,9 @@ class _Candidates:
         self.member, self.sets, self.grouped, self.t = member.drop("alt"), sets, grouped, t
         # sizes allow a link, and behind the rarest common shingle both still share as much as it takes
         self.fits = f"100 * least(n, hn) >= {t} * greatest(n, hn) and {100 + t} * least(s - pos, hs - hpos) >= {t} * (n + hn)"
+        # linked sets differ in (n + hn) * (100 - t) / (100 + t) shingles at most, and in as many bits
+        differ = " + ".join(f"bit_count(bits[{k}] ^ hbits[{k}])" for k in range(BITMAP))
+        self.close = f"{100 + t} * ({differ}) <= {100 - t} * (n + hn)"
 
     def verified(self, pairs: DataFrame, tag: str) -> DataFrame:
         """a, b, ok of pairs (a, b) of classes, by their whole sets."""
@@ -224,10 +237,10 @@ def jaccard_pairs(docs: DataFrame, size: int = 5, t: int = 75, id_col: str = "do
     c = _Candidates(docs, size, t, id_col, text_col, class_bits)
     y = c.posting.select("token", F.col("g").alias("h"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("pos").alias("hpos"))
     met = c.posting.join(y, "token").where(f"g < h and {c.fits}").select("g", "h").distinct()
-    one = c.grouped.select("g", F.col("cls").alias("x"))
-    two = c.grouped.select(F.col("g").alias("h"), F.col("cls").alias("y"))
-    across = met.join(one, "g").join(two, "h").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    inside = one.join(two, (one.g == two.h) & (one.x < two.y)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    one = c.grouped.select("g", F.col("cls").alias("x"), "n", "bits")
+    two = c.grouped.select(F.col("g").alias("h"), F.col("cls").alias("y"), F.col("n").alias("hn"), F.col("bits").alias("hbits"))
+    across = met.join(one, "g").join(two, "h").where(c.close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    inside = one.join(two, (one.g == two.h) & (one.x < two.y)).where(c.close).select(F.col("x").alias("a"), F.col("y").alias("b"))
     pairs = c.verified(across.unionByName(inside), "ngram-pairs").where("ok").select("a", "b")
     return pairs, c.member.select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"))
 
@@ -248,8 +261,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int =
        principle holds once more among them. Classes with identical prefixes and size form one group.
     4. Groups meet by prefix shingle, if their sizes, shared counts and the shingle's positions allow a link. Within a posting every group is first
        paired with one hub only (at first the one that shares most of its set, the likely original), groups are expanded and their pairs verified on whole sets, and links join components; ``stars`` such
-       rounds leave near copies in one component. All pairs of a posting that are then still in different components are
-       verified too, so no link between components is lost, while pairs inside one need no look.
+       rounds (later ones with HUBS hubs) leave near copies in one component. All pairs of a posting that are then still in
+       different components are verified too, if their bitmaps do not rule a link out, so no link between components is lost, while
+       pairs inside one need no look.
     Hashes of 64 bits stand for shingles; classes have 128 (``class_bits`` is there to force names to collide). Rows with one id are rows of their own; a null id never is a component's name
     unless all its ids are null. Repeated rows are rows of one class. Long texts are read whole, by slices of rows; extra columns
     are ignored. An empty table gives an empty result. With row_keys: rk and keep_rk as well, the keys
@@ -261,20 +275,26 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int =
     tried, label = None, grouped.select("cls", F.col("cls").alias("label"))
     for k in range(stars):
         spread = posting.join(label.select(F.col("cls").alias("g"), "label"), "g")
-        hub = spread.groupBy("token").agg(F.max_by(F.struct("g", "n", "s", "pos"), F.struct((F.col("s") / F.col("n") if k == 0 else F.xxhash64("g", F.lit(k))).alias("rank"), "g")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        pairs = spread.join(hub.select("token", F.col("hub.g").alias("hg"), F.col("hub.n").alias("hn"), F.col("hub.s").alias("hs"), F.col("hub.pos").alias("hpos")), "token").where(f"g <> hg and {fits}")
+        rank = F.struct((F.col("s") / F.col("n") if k == 0 else F.xxhash64("g", F.lit(k))).alias("rank"), "g")
+        mixed = spread.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+        hub = spread.groupBy("token", F.pmod(F.xxhash64("g", F.lit(-k)), F.lit(HUBS if k else 1)).alias("part")).agg(F.max_by(F.struct("g", "n", "s", "pos", "label"), rank).alias("hub")).join(mixed, "token", "left_semi")
+        hub = hub.select("token", F.col("hub.g").alias("hg"), F.col("hub.n").alias("hn"), F.col("hub.s").alias("hs"), F.col("hub.pos").alias("hpos"), F.col("hub.label").alias("hl"))
+        pairs = spread.join(hub, "token").where(f"label <> hl and {fits}")
         pairs = pairs.select(F.least("g", "hg").alias("a"), F.greatest("g", "hg").alias("b"))
         pairs = (pairs if k else pairs.unionByName(inside)).distinct()
         pairs = pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         new = verified(pairs, f"ngram-star{k}")
         tried = new if tried is None else tried.unionByName(new)
         label = table(components(nodes, tried.where("ok").select("a", "b"), f"ngram-cc{k}").select(F.col("id").alias("cls"), F.col("component").alias("label")), f"ngram-label{k}")
-    # what is left: pairs of one posting, groups expanded, in different components
-    spread = grouped.select("cls", "n", "s", F.posexplode("prefix").alias("pos", "token")).join(label, "cls")
-    mixed = spread.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    x = spread.join(mixed, "token", "left_semi")
-    y = x.select("token", F.col("cls").alias("hc"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("pos").alias("hpos"), F.col("label").alias("hl"))
-    rest = x.join(y, "token").where(f"label < hl and {fits}").select(F.least("cls", "hc").alias("a"), F.greatest("cls", "hc").alias("b")).distinct()
+    # what is left: pairs of one posting, groups expanded, in different components. Members of a posting's largest component
+    # need not meet one another; a pair comes from its first common shingle alone, and only if its bitmaps are close
+    size_of = label.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    spread = grouped.select("cls", "n", "s", "bits", "prefix", F.posexplode("prefix").alias("pos", "token")).join(label.join(size_of, "label"), "cls")
+    mixed = spread.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("label", F.struct("size", "label")).alias("top")).where("lo <> hi").select("token", "top")
+    x = spread.join(mixed, "token")
+    y = x.select("token", F.col("cls").alias("hc"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("pos").alias("hpos"), F.col("label").alias("hl"), F.col("bits").alias("hbits"), F.col("prefix").alias("hprefix"))
+    once = "(hl = top or label < hl) and label <> hl"
+    rest = x.where("label <> top").join(y, "token").where(f"{once} and {fits} and {c.close} and array_intersect(prefix, hprefix)[0] = token").select(F.least("cls", "hc").alias("a"), F.greatest("cls", "hc").alias("b")).distinct()
     last = verified(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "ngram-rest")
     links = last.where("ok")
     if links.limit(1).count():
