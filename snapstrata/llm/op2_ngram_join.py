@@ -147,7 +147,7 @@ def _add_counts(rows):
 
 
 def _rarest(batches, t: int, counts: np.ndarray):
-    """(cls, n, bits, s, prefix): the s shared shingles of a class, rarest first, as far as a link must reach into them."""
+    """(cls, n, s, prefix): the s shared shingles of a class, rarest first, as far as a link must reach into them."""
     for batch in batches:
         lists, ns = batch.column("keys"), batch.column("n").to_pylist()
         s, out = [], []
@@ -156,7 +156,7 @@ def _rarest(batches, t: int, counts: np.ndarray):
             order = np.lexsort((key, counts[_counter(key)]))
             s.append(len(key))
             out.append(key[order[: len(key) - least_overlap(n, t) + 1]].view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), batch.column("bits"), pa.array(s, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["cls", "n", "bits", "s", "prefix"])
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array(s, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["cls", "n", "s", "prefix"])
 
 
 def _verify(batches, t: int):
@@ -173,8 +173,8 @@ def _verify(batches, t: int):
 
 
 class _Candidates:
-    """What both forms of the join start from: member (doc_id, rk, n, cls), sets (cls, n, items) of the classes that may link,
-    grouped (cls, n, bits, s, g, prefix) and posting (g, n, s, pos, token), one row per group and prefix shingle."""
+    """What both forms of the join start from: member (doc_id, rk, n, cls), sets (cls, n, items, bits) of the classes that may link,
+    grouped (cls, n, s, g, prefix) and posting (g, n, s, pos, token), one row per group and prefix shingle."""
 
     def __init__(self, docs: DataFrame, size: int, t: int, id_col: str, text_col: str, class_bits: int):
         rows = keyed(docs, id_col, text_col)
@@ -196,17 +196,17 @@ class _Candidates:
         sets = table(one.select("cls", "n", "text").mapInArrow(lambda b: _sets(b, size), "cls long, n long, items binary, bits array<long>"), "ngram-sets")
         cells = meet.buckets(docs, sets.agg(F.sum("n")).first()[0] or 0)
         again = meet.shared_keys(sets.select("cls", "items").mapInArrow(lambda b: _send_sets(b, cells), meet.SCHEMA), cells).withColumnRenamed("owner", "cls")
-        shared = table(again.join(sets.select("cls", "n", "bits"), "cls").where(f"100 * size(keys) >= {t} * n").select("cls", "n", "bits", "keys"), "ngram-shared")
+        shared = table(again.join(sets.select("cls", "n"), "cls").where(f"100 * size(keys) >= {t} * n").select("cls", "n", "keys"), "ngram-shared")
         schema = "part int, task int, counts binary"
         parts = shared.select("keys").mapInArrow(_count, schema)
         for _ in range(3):  # at most ADDED rows in a group up to ADDED ** 3 tasks
             parts = parts.withColumn("task", (F.col("task") / ADDED).cast("int")).groupBy("part", "task").applyInPandas(_add_counts, schema)
         parts = parts.groupBy("part").applyInPandas(_add_counts, schema).orderBy("part").collect()  # PARTS rows, 4 MB in all
         counts = np.frombuffer(b"".join(bytes(r.counts) for r in parts), "<u4") if parts else np.zeros(COUNTERS, np.uint32)
-        prefix = shared.mapInArrow(lambda b: _rarest(b, t, counts), "cls long, n long, bits array<long>, s long, prefix array<long>")
+        prefix = shared.mapInArrow(lambda b: _rarest(b, t, counts), "cls long, n long, s long, prefix array<long>")
         prefix = table(prefix.withColumn("sig", F.xxhash64("prefix")), "ngram-prefix")
         group = prefix.groupBy("sig", "n").agg(F.min("cls").alias("g"))
-        grouped = table(prefix.join(group, ["sig", "n"]).select("cls", "n", "bits", "s", "g", "prefix"), "ngram-groups")
+        grouped = table(prefix.join(group, ["sig", "n"]).select("cls", "n", "s", "g", "prefix"), "ngram-groups")
         dropped(shared, prefix)
         # a group's members may share more than its first: the most that any shares
         most = grouped.groupBy("g").agg(F.max("s").alias("most"))
@@ -237,8 +237,9 @@ def jaccard_pairs(docs: DataFrame, size: int = 5, t: int = 75, id_col: str = "do
     c = _Candidates(docs, size, t, id_col, text_col, class_bits)
     y = c.posting.select("token", F.col("g").alias("h"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("pos").alias("hpos"))
     met = c.posting.join(y, "token").where(f"g < h and {c.fits}").select("g", "h").distinct()
-    one = c.grouped.select("g", F.col("cls").alias("x"), "n", "bits")
-    two = c.grouped.select(F.col("g").alias("h"), F.col("cls").alias("y"), F.col("n").alias("hn"), F.col("bits").alias("hbits"))
+    named = c.grouped.select("g", "cls", "n").join(c.sets.select("cls", "bits"), "cls")
+    one = named.select("g", F.col("cls").alias("x"), "n", "bits")
+    two = named.select(F.col("g").alias("h"), F.col("cls").alias("y"), F.col("n").alias("hn"), F.col("bits").alias("hbits"))
     across = met.join(one, "g").join(two, "h").where(c.close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     inside = one.join(two, (one.g == two.h) & (one.x < two.y)).where(c.close).select(F.col("x").alias("a"), F.col("y").alias("b"))
     pairs = c.verified(across.unionByName(inside), "ngram-pairs").where("ok").select("a", "b")
@@ -289,9 +290,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, t: int = 75, stars: int =
     # what is left: pairs of one posting, groups expanded, in different components. Members of a posting's largest component
     # need not meet one another; a pair comes from its first common shingle alone, and only if its bitmaps are close
     size_of = label.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    spread = grouped.select("cls", "n", "s", "bits", "prefix", F.posexplode("prefix").alias("pos", "token")).join(label.join(size_of, "label"), "cls")
+    spread = grouped.select("cls", "n", "s", F.posexplode("prefix").alias("pos", "token")).join(label.join(size_of, "label"), "cls")
     mixed = spread.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("label", F.struct("size", "label")).alias("top")).where("lo <> hi").select("token", "top")
-    x = spread.join(mixed, "token")
+    x = table(spread.drop("size").join(mixed, "token"), "ngram-mixed")
+    # bitmaps and prefixes for the classes of such postings alone
+    x = x.join(c.sets.select("cls", "bits"), "cls").join(grouped.select("cls", "prefix"), "cls")
     y = x.select("token", F.col("cls").alias("hc"), F.col("n").alias("hn"), F.col("s").alias("hs"), F.col("pos").alias("hpos"), F.col("label").alias("hl"), F.col("bits").alias("hbits"), F.col("prefix").alias("hprefix"))
     once = "(hl = top or label < hl) and label <> hl"
     rest = x.where("label <> top").join(y, "token").where(f"{once} and {fits} and {c.close} and array_intersect(prefix, hprefix)[0] = token").select(F.least("cls", "hc").alias("a"), F.greatest("cls", "hc").alias("b")).distinct()
