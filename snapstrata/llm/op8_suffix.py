@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from snapstrata.llm import meet
 from snapstrata.llm.common import BYTE_VALUE, flat, mix, powers, sliced, table
-from snapstrata.llm.spans import keyed, remove_spans
+from snapstrata.llm.spans import covered, keyed, remove_spans
 
 #: Bytes of the k-grams whose hashes route strings, and fragment bytes indexed at a time (more for one k-gram).
 GRAM, BLOCK_BYTES = 16, 2 << 20
@@ -204,9 +204,9 @@ def _grams(batches, length: int, n: int):
 
 
 def _fragments(batches, length: int, hot: set[int]):
-    """(h, ord, rk, start, stop, bytes, own): fragments whose k-gram repeats, or their single strings where it is hot. Of
-    equal ones in a slice of texts only the earliest carries its bytes on; the others are already decided (bytes null) and
-    dealt out evenly."""
+    """(h, ord, rk, start, bytes, own, gone): fragments whose k-gram repeats, or their single strings where it is hot. Of
+    equal ones in a slice of texts only the earliest carries its bytes on; the others are already decided and go, joined to
+    spans, in one row a text (bytes null, gone: starts and stops), dealt out evenly."""
     for batch in batches:
         for part in sliced(batch):
             data, offsets = flat(part.column("text"))
@@ -221,16 +221,8 @@ def _fragments(batches, length: int, hot: set[int]):
             keep = np.flatnonzero(want[at] == own) if len(want) else np.zeros(0, np.int64)
             raw, ords, rks = data.tobytes(), part.column("ord").to_numpy(), part.column("rk").to_pylist()
             best: dict[bytes, tuple] = {}
-            hs, os_, ks, ss, es, bs, ws = [], [], [], [], [], [], []
-
-            def put(key, o, k, s, n, body, own=False):
-                hs.append(key)
-                os_.append(o)
-                ks.append(k)
-                ss.append(s)
-                es.append(s + n)
-                bs.append(body)
-                ws.append(own)
+            gone: dict[bytes, tuple[list, list]] = {}
+            out = []
 
             def meet_earlier(found: dict[bytes, tuple], body: bytes, me: tuple) -> None:
                 """The earliest of equal ones stays in found; any later one is put as decided."""
@@ -239,7 +231,9 @@ def _fragments(batches, length: int, hot: set[int]):
                     found[body] = me
                     me = other
                 if me is not None and me[:2] != found[body][:2]:
-                    put(int.from_bytes(me[2][:8], "little", signed=True) ^ me[1], me[0], me[2], me[1], len(body), None)
+                    starts, stops = gone.setdefault(me[2], ([], []))
+                    starts.append(me[1])
+                    stops.append(me[1] + len(body))
 
             for j in keep.tolist():
                 t, s, n = int(text[j]), int(start[j]), int(count[j]) + length - 1
@@ -248,13 +242,17 @@ def _fragments(batches, length: int, hot: set[int]):
             singles: dict[bytes, tuple] = {}
             for body, (o, s, k, key, own) in best.items():
                 if key not in hot:
-                    put(key, o, k, s, len(body), body, own)
+                    out.append((key, o, k, s, body, own, None))
                     continue
                 for i in range(len(body) - length + 1):
                     meet_earlier(singles, body[i : i + length], (o, s + i, k))
             for body, (o, s, k) in singles.items():
-                put(int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True), o, k, s, length, body)
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(os_, pa.int64()), pa.array(ks, pa.binary()), pa.array(ss, pa.int32()), pa.array(es, pa.int32()), pa.array(bs, pa.binary()), pa.array(ws, pa.bool_())], names=["h", "ord", "rk", "start", "stop", "bytes", "own"])
+                out.append((int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True), o, k, s, body, False, None))
+            for k, (starts, stops) in gone.items():
+                spans = np.asarray(covered(np.asarray(starts, np.int32), np.asarray(stops, np.int32)), np.int32)
+                out.append((int.from_bytes(k[:8], "little", signed=True), 0, k, 0, None, False, spans.tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)], names=["h", "ord", "rk", "start", "bytes", "own", "gone"])
 
 
 def _decide(leads: dict[bytes, list], periodic: set[bytes], length: int):
@@ -285,10 +283,11 @@ def _index(batches, length: int, block: int):
     used, last = 0, None
     for batch in batches:
         done = []
-        for h, o, k, s, e, body, own in zip(*(batch.column(c).to_pylist() for c in ("h", "ord", "rk", "start", "stop", "bytes", "own")), strict=True):
+        for h, o, k, s, body, own, gone in zip(*(batch.column(c).to_pylist() for c in ("h", "ord", "rk", "start", "bytes", "own", "gone")), strict=True):
             if body is None:
-                done.append((k, s, e))
+                done += [(k, a, b) for a, b in np.frombuffer(gone, np.int32).reshape(2, -1).T.tolist()]
                 continue
+            e = s + len(body)
             if used > block and h != last:
                 yield _decide(leads, periodic, length)
                 leads, periodic, used = {}, set(), 0
@@ -311,7 +310,7 @@ def _index(batches, length: int, block: int):
 def repeated_spans(rows: DataFrame, length: int = 100, block: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """(rk, start, stop): bytes covered by strings of ``length`` bytes that also start earlier. rows: ord, rk, text."""
     text = F.col("text")
-    place = rows.select("rk", "ord", F.xxhash64(text).alias("copy"), F.sha2(text, 256).alias("sha"), F.octet_length(text).alias("stop"))
+    place = rows.select("rk", "ord", F.xxhash64(text).alias("copy"), F.unhex(F.sha2(text, 256)).alias("sha"), F.octet_length(text).alias("stop"))
     place = table(place.where(F.col("stop") >= length), "suffix-places")
     total = place.agg(F.sum(F.col("stop").cast("long"))).first()[0] or 0
     cells = meet.buckets(rows, total // ((length - GRAM + 2) // 2))  # one fragment in so many bytes
@@ -323,7 +322,7 @@ def repeated_spans(rows: DataFrame, length: int = 100, block: int = BLOCK_BYTES,
     common = shared.select(F.explode("keys").alias("g")).groupBy("g").count().where(F.col("count") > hot)
     common = {int(r.g) for r in common.orderBy(F.desc("count"), "g").limit(HOT_GRAMS).collect()}
     wanted = shared.withColumnRenamed("owner", "copy").join(first.select("first.copy", "first.rk"), "copy").select("rk", F.col("keys").alias("grams"))
-    fragments = rows.select("rk", "ord", "text").join(wanted, "rk").mapInArrow(lambda b: _fragments(b, length, common), "h long, ord long, rk binary, start int, stop int, bytes binary, own boolean")
+    fragments = rows.select("rk", "ord", "text").join(wanted, "rk").mapInArrow(lambda b: _fragments(b, length, common), "h long, ord long, rk binary, start int, bytes binary, own boolean, gone binary")
     spans = fragments.repartition(cells, "h").sortWithinPartitions("h", "bytes", "ord", "start").mapInArrow(lambda b: _index(b, length, block), "rk binary, start int, stop int")
     return spans.unionByName(copies)
 
