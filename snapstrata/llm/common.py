@@ -4,6 +4,7 @@ Arrow string columns, word hashing and distributed connected components."""
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,13 @@ def dropped(*tables: DataFrame) -> None:
         release(t.sparkSession, [t.table_path])
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that nobody holds any more. It does so when the driver collects garbage, which
+    an idle driver puts off while executors' disks fill; to be called where a table has cut a large lineage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """A column name that none of these columns has, however they are written."""
     taken = {c.lower() for c in columns}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapstrata.llm import meet
-from snapstrata.llm.common import BYTE_VALUE, flat, mix, powers, sliced, table
+from snapstrata.llm.common import BYTE_VALUE, dropped, flat, forget, mix, powers, sliced, table
 from snapstrata.llm.spans import covered, keyed, remove_spans
 
 #: Bytes of the k-grams whose hashes route strings, and fragment bytes indexed at a time (more for one k-gram).
@@ -308,7 +308,9 @@ def _index(batches, length: int, block: int):
 
 
 def repeated_spans(rows: DataFrame, length: int = 100, block: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
-    """(rk, start, stop): bytes covered by strings of ``length`` bytes that also start earlier. rows: ord, rk, text."""
+    """(rk, start, stop): bytes covered by strings of ``length`` bytes that also start earlier. rows: ord, rk, text.
+
+    A table; what led to it is deleted."""
     text = F.col("text")
     place = rows.select("rk", "ord", F.xxhash64(text).alias("copy"), F.unhex(F.sha2(text, 256)).alias("sha"), F.octet_length(text).alias("stop"))
     place = table(place.where(F.col("stop") >= length), "suffix-places")
@@ -319,12 +321,16 @@ def repeated_spans(rows: DataFrame, length: int = 100, block: int = BLOCK_BYTES,
     first = table(place.groupBy("sha").agg(F.min(F.struct("ord", "rk", "copy")).alias("first"), F.count(F.lit(1)).alias("n")), "suffix-first")
     copies = place.join(first.where("n > 1"), "sha").where("ord > first.ord").select("rk", F.lit(0).alias("start"), F.col("stop").cast("int").alias("stop"))
     shared = table(meet.shared_keys(sent, cells), "suffix-shared")
+    forget(rows.sparkSession)
     common = shared.select(F.explode("keys").alias("g")).groupBy("g").count().where(F.col("count") > hot)
     common = {int(r.g) for r in common.orderBy(F.desc("count"), "g").limit(HOT_GRAMS).collect()}
     wanted = shared.withColumnRenamed("owner", "copy").join(first.select("first.copy", "first.rk"), "copy").select("rk", F.col("keys").alias("grams"))
     fragments = rows.select("rk", "ord", "text").join(wanted, "rk").mapInArrow(lambda b: _fragments(b, length, common), "h long, ord long, rk binary, start int, bytes binary, own boolean, gone binary")
     spans = fragments.repartition(cells, "h").sortWithinPartitions("h", "bytes", "ord", "start").mapInArrow(lambda b: _index(b, length, block), "rk binary, start int, stop int")
-    return spans.unionByName(copies)
+    out = table(spans.unionByName(copies), "suffix-spans")
+    dropped(place, first, shared)
+    forget(rows.sparkSession)
+    return out
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot: int = HOT) -> DataFrame:
@@ -345,5 +351,4 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     Empty and short texts stay; long ones are read whole, by slices of rows; an empty table gives an empty result; extra columns
     are ignored."""
     rows = keyed(docs, id_col, text_col)
-    spans = table(repeated_spans(rows, length, hot=hot), "suffix-spans")
-    return remove_spans(rows, spans, keep_text)
+    return remove_spans(rows, repeated_spans(rows, length, hot=hot), keep_text)
