@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from snapstrata.llm import op1_packing, op2_ngram_join, op3_quality, op5_exact_dedup, op8_suffix
-from snapstrata.llm.common import release, shared_dir, table, written
+from snapstrata.llm.common import forget, release, shared_dir, written
 from snapstrata.llm.spans import cut_spans, keyed
 from snapstrata.session import ship
 
@@ -47,8 +47,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 100-byte strings that occur earlier, cut at whole characters; n_chars follows.
 
     A document of which nothing is left goes; null and empty texts stay as they are; repeated rows are cut alike."""
-    spans = table(op8_suffix.repeated_spans(keyed(docs), length=100), "pipeline-spans")
-    return cut_spans(docs, spans, chars="n_chars")
+    return cut_spans(docs, op8_suffix.repeated_spans(keyed(docs), length=100), chars="n_chars")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +71,7 @@ def _stage(f):
             free = [p for p in used if p in written(spark) and not any(p.removeprefix("file:").lstrip("/") in x for x in read)]
             release(spark, free)
             used[:] = [p for p in used if p not in free]
+            forget(spark)
         before = set(written(spark))
         out = f(spark, docs, sf_dir)
         used.extend(p for p in written(spark) if p not in before)
