@@ -190,12 +190,12 @@ class _Candidates:
         cells = meet.buckets(docs, (member.agg(F.sum("n")).first()[0] or 0) * 3 // 8)
         sent = rows.select("text").mapInArrow(lambda b: _prefixes(b, size, t, cells, class_bits, taken), meet.SCHEMA)
         need = f"(1 + int((int(({t} * n + 99) / 100)) / 8))"
-        alive = meet.shared_keys(sent, cells).withColumnRenamed("owner", "cls").join(classes, "cls").where(f"size(keys) >= {need}").select("cls", "n", "rk")
+        alive = meet.shared_keys(sent, cells).drop("counts").withColumnRenamed("owner", "cls").join(classes, "cls").where(f"size(keys) >= {need}").select("cls", "n", "rk")
         # whole sets, once for each class that is still here
         one = rows.select("rk", "text").join(alive, "rk").dropDuplicates(["cls"])
         sets = table(one.select("cls", "n", "text").mapInArrow(lambda b: _sets(b, size), "cls long, n long, items binary, bits array<long>"), "ngram-sets")
         cells = meet.buckets(docs, sets.agg(F.sum("n")).first()[0] or 0)
-        again = meet.shared_keys(sets.select("cls", "items").mapInArrow(lambda b: _send_sets(b, cells), meet.SCHEMA), cells).withColumnRenamed("owner", "cls")
+        again = meet.shared_keys(sets.select("cls", "items").mapInArrow(lambda b: _send_sets(b, cells), meet.SCHEMA), cells).drop("counts").withColumnRenamed("owner", "cls")
         shared = table(again.join(sets.select("cls", "n"), "cls").where(f"100 * size(keys) >= {t} * n").select("cls", "n", "keys"), "ngram-shared")
         schema = "part int, task int, counts binary"
         parts = shared.select("keys").mapInArrow(_count, schema)

@@ -19,7 +19,7 @@ from snapstrata.llm.spans import covered, keyed, remove_spans
 
 #: Bytes of the k-grams whose hashes route strings, and fragment bytes indexed at a time (more for one k-gram).
 GRAM, BLOCK_BYTES = 16, 2 << 20
-#: A k-gram in more different texts than this is hot: its strings travel one by one, each by its own hash. So many k-grams,
+#: A k-gram in more different texts than about this is hot: its strings travel one by one, each by its own hash. So many k-grams,
 #: the hottest, can be hot (8 bytes each reach the workers); what is beyond them is rarer than all keys / HOT_GRAMS.
 HOT, HOT_GRAMS = 4096, 1 << 16
 
@@ -312,7 +312,7 @@ def repeated_spans(rows: DataFrame, length: int = 100, block: int = BLOCK_BYTES,
 
     A table; what led to it is deleted."""
     text = F.col("text")
-    place = rows.select("rk", "ord", F.xxhash64(text).alias("copy"), F.unhex(F.sha2(text, 256)).alias("sha"), F.octet_length(text).alias("stop"))
+    place = rows.select("rk", "ord", F.xxhash64(text).alias("copy"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("sha"), F.octet_length(text).alias("stop"))
     place = table(place.where(F.col("stop") >= length), "suffix-places")
     total = place.agg(F.sum(F.col("stop").cast("long"))).first()[0] or 0
     cells = meet.buckets(rows, total // ((length - GRAM + 2) // 2))  # one fragment in so many bytes
@@ -320,11 +320,11 @@ def repeated_spans(rows: DataFrame, length: int = 100, block: int = BLOCK_BYTES,
     # of equal texts the first row speaks for all; the others are covered from end to end
     first = table(place.groupBy("sha").agg(F.min(F.struct("ord", "rk", "copy")).alias("first"), F.count(F.lit(1)).alias("n")), "suffix-first")
     copies = place.join(first.where("n > 1"), "sha").where("ord > first.ord").select("rk", F.lit(0).alias("start"), F.col("stop").cast("int").alias("stop"))
-    shared = table(meet.shared_keys(sent, cells), "suffix-shared")
+    shared = table(meet.shared_keys(sent, cells, hot), "suffix-shared")
     forget(rows.sparkSession)
-    common = shared.select(F.explode("keys").alias("g")).groupBy("g").count().where(F.col("count") > hot)
-    common = {int(r.g) for r in common.orderBy(F.desc("count"), "g").limit(HOT_GRAMS).collect()}
-    wanted = shared.withColumnRenamed("owner", "copy").join(first.select("first.copy", "first.rk"), "copy").select("rk", F.col("keys").alias("grams"))
+    common = shared.where("owner is null").select(F.explode(F.arrays_zip("keys", "counts")).alias("x"))
+    common = {int(r.g) for r in common.select(F.col("x.keys").alias("g")).orderBy(F.desc("x.counts"), "g").limit(HOT_GRAMS).collect()}
+    wanted = shared.where("owner is not null").withColumnRenamed("owner", "copy").join(first.select("first.copy", "first.rk"), "copy").select("rk", F.col("keys").alias("grams"))
     fragments = rows.select("rk", "ord", "text").join(wanted, "rk").mapInArrow(lambda b: _fragments(b, length, common), "h long, ord long, rk binary, start int, bytes binary, own boolean, gone binary")
     spans = fragments.repartition(cells, "h").sortWithinPartitions("h", "bytes", "ord", "start").mapInArrow(lambda b: _index(b, length, block), "rk binary, start int, stop int")
     out = table(spans.unionByName(copies), "suffix-spans")
