@@ -18,7 +18,7 @@ from snapstrata.llm.common import BYTE_VALUE, dropped, flat, forget, mix, powers
 from snapstrata.llm.spans import covered, keyed, remove_spans
 
 #: Bytes of the k-grams whose hashes route strings, and fragment bytes indexed at a time (more for one k-gram).
-GRAM, BLOCK_BYTES = 16, 2 << 20
+GRAM, BLOCK_BYTES = 16, 1 << 20
 #: A k-gram in more different texts than about this is hot: its strings travel one by one, each by its own hash. So many k-grams,
 #: the hottest, can be hot (8 bytes each reach the workers); what is beyond them is rarer than all keys / HOT_GRAMS.
 HOT, HOT_GRAMS = 4096, 1 << 16
