@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from snapstrata.llm.common import table
 from snapstrata.llm.spans import one_of_each, row_key
@@ -50,16 +49,17 @@ def exact_groups(docs: DataFrame, salts: int = 16, id_col: str = "doc_id", text_
     Null texts count as empty texts and form one group. Ties go to the smallest id. Repeated rows
     with one id count as members; each comes back. An empty table gives an empty result. Null ids are
     members too and lose every tie. Extra columns are ignored."""
-    rows = _rows(docs, salts, id_col, text_col, digest)
-    bytes_ = F.octet_length("norm").alias("bytes")
-    same = W.partitionBy("digest", "bytes")  # more than one row only where digests collide
-    whole = _combined(rows, salts).select("digest", bytes_, "norm", F.col("rank.d").alias("keep_id"), "group_size").withColumn("clash", F.count(F.lit(1)).over(same) > 1)
-    groups = table(whole.select("digest", "bytes", F.when(F.col("clash"), F.col("norm")).alias("content"), "keep_id", "group_size", "clash"), "exact-groups")
-    members = rows.select("doc_id", "sha", "digest", bytes_)
-    found = members.join(groups.where("not clash"), ["digest", "bytes"]).select("doc_id", "keep_id", "group_size", "sha")
-    if groups.where("clash").limit(1).count():
-        clashes = groups.where("clash").select(F.col("content").alias("norm"), "keep_id", "group_size")
-        found = found.unionByName(rows.select("doc_id", "sha", "norm").join(clashes, "norm").select("doc_id", "keep_id", "group_size", "sha"))
+    rows = _rows(docs, salts, id_col, text_col, digest).withColumn("bytes", F.octet_length("norm"))
+    key = ["digest", "bytes"]
+    groups = table(_combined(rows, salts).select("digest", F.octet_length("norm").alias("bytes"), F.col("rank.d").alias("keep_id"), "group_size"), "exact-groups")
+    clash = groups.groupBy(*key).count().where("count > 1").select(*key)
+    apart = clash.limit(1).count() == 0
+    plain = groups if apart else groups.join(clash, key, "left_anti")
+    found = rows.select("doc_id", "sha", *key).join(plain, key).select("doc_id", "keep_id", "group_size", "sha")
+    if not apart:
+        own = rows.join(clash, key, "left_semi")
+        whole = _combined(own, salts).select("norm", F.col("rank.d").alias("keep_id"), "group_size")
+        found = found.unionByName(own.select("doc_id", "sha", "norm").join(whole, "norm").select("doc_id", "keep_id", "group_size", "sha"))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
