@@ -31,10 +31,11 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def one_of_each(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs, with all its columns, for each row key in keys (one column)."""
+    """One row of docs, with all its columns, for each row key in keys (one column). Rows that share a key are first combined in
+    their own tasks, so that a row which is repeated any number of times sends one copy a task to the join."""
     rk = fresh("__rk", docs.columns)
     keep = keys.select(F.col(keys.columns[0]).alias(rk))
-    return docs.withColumn(rk, row_key(id_col, text_col)).join(keep, rk, "left_semi").dropDuplicates([rk]).drop(rk)
+    return docs.withColumn(rk, row_key(id_col, text_col)).dropDuplicates([rk]).join(keep, rk, "left_semi").drop(rk)
 
 
 def covered(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
