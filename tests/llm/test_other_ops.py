@@ -8,11 +8,12 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
 
-from snapstrata.llm import op3_quality, op6_embedding, op10_chat, queries  # noqa: E402
+from snapstrata.llm import common, op3_quality, op6_embedding, op10_chat, queries  # noqa: E402
 from snapstrata.llm.common import components, table  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +71,38 @@ def test_forward_backward():
     assert np.allclose(p, want_p) and np.allclose(pairs, want_pairs) and np.isclose(z, want_z)
 
 
+@pytest.mark.parametrize("steps", [1, 2, 3, 7])
+def test_long_chains_in_blocks(steps, monkeypatch):
+    """Texts cut into blocks give what whole ones do."""
+    rng = np.random.default_rng(steps)
+    for _ in range(10):
+        counts = rng.integers(1, 60, rng.integers(1, 9))
+        unary, trans = rng.standard_normal(counts.sum()) * 3, rng.standard_normal((2, 2))
+        whole = op3_quality.forward_backward(unary, counts, trans)
+        with monkeypatch.context() as m:
+            m.setattr(op3_quality, "STEPS", steps)
+            cut = op3_quality.forward_backward(unary, counts, trans)
+        assert all(np.allclose(x, y, rtol=1e-9, atol=1e-9) for x, y in zip(whole, cut, strict=True))
+
+
+def test_features_in_blocks(monkeypatch):
+    """Blocks of lines change no score, and a million lines are no trouble."""
+    texts = ["", "\n", "a plain line.\n### 00\n\n", "no end", "\n\n", "é x x\n" * 40, ""]
+    data, offsets = common.flat(pa.array(texts))
+    starts, ends, counts = op3_quality.text_lines(data, offsets)
+    assert counts.tolist() == [t.count("\n") + 1 for t in texts] and (ends[:-1] == starts[1:]).all()
+    rng = np.random.default_rng(4)
+    model = op3_quality.LineCRF(rng.standard_normal(46), rng.standard_normal((2, 2)), rng.standard_normal(45), np.ones(45))
+    whole = model.score(data, offsets)
+    monkeypatch.setattr(op3_quality, "BLOCK_COST", 70)
+    assert len(op3_quality.line_blocks(starts, ends)) > 20 and np.allclose(model.score(data, offsets), whole)
+    monkeypatch.undo()
+    for empty in (np.zeros(1, np.int64), np.zeros(3, np.int64)):
+        assert len(model.score(np.zeros(0, np.uint8), empty)) == len(empty) - 1
+    many = model.score(np.full(1_000_000, 10, np.uint8), np.asarray([0, 1_000_000]))
+    assert 0 <= many[0] <= 1
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in op3_quality.quality_scores(docs, labels).collect()}
