@@ -277,6 +277,58 @@ def test_other_tokenizers_are_refused(tmp_path):
             encoder(str(other))
 
 
+class _Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode(self, text, **options):
+        self.texts += 1
+        return self.tokenizer.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+
+def test_new_words_need_only_the_merges():
+    """A new plain word costs a run of the model, not one of the whole tokenizer."""
+    encoder, t = tokens.WordEncoder(WORDS), tokens.load(WORDS)
+    encoder.cache.tokenizer = count = _Counting(t)
+    rnd = random.Random(3)
+    text = " ".join("".join(rnd.choices("abcdEFG'.,;-stre019äÉßñЖщœ_|", k=rnd.randint(1, 12))) for _ in range(2000))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert count.texts == 0
+
+
+def test_words_as_the_tokenizer_cuts_them():
+    encoder, t = tokens.WordEncoder(WORDS), tokens.load(WORDS)
+    rnd = random.Random(4)
+    marks = "\0\x0b\x1c\x7f\x85\xa0ªµ²¼×÷İıŉſǅΣςϐйи\u0301\u0306\u0344\u2000\u2019\u2028\u212aﬁ漢\U0001f600\U0001d400٣Ⅷ각"
+    texts = [f"{c} a{c} {c}B9{c}'s" for c in map(chr, [*range(1, 0x530), *range(0x2010, 0x2030)])]
+    texts += ["".join(rnd.choices("aZé'stREvelLmd9.« \n" + marks, k=rnd.randint(1, 40))) for _ in range(3000)]
+    texts += [f"x {s} {s}y'{s}'s {s.upper()} {s[:-1]} {s}{s}" for s in ("<|startoftext|>", "<|endoftext|>")] + ["w" * 5000, "'" * 300, "'ſ 'S 'RE's"]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_other_byte_level_settings(tmp_path):
+    """Under settings that the cutting of words does not stand for, the whole tokenizer encodes them."""
+    import json
+
+    settings = json.load(open(WORDS, encoding="utf-8"))
+    settings["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"] = True
+    other = tmp_path / "prefix.json"
+    other.write_text(json.dumps(settings))
+    text = "Some words, and 12 more of them's"
+    got = np.frombuffer(tokens.WordEncoder(str(other)).encode(text), "<u4").tolist()
+    assert got == tokens.load(str(other)).encode(text, add_special_tokens=False).ids != tokens.load(WORDS).encode(text, add_special_tokens=False).ids
+
+
 def test_joins_agree():
     """Windows that disagree grow, and in the end the text is encoded at once."""
     encoder = op4_bpe.ChunkEncoder(WORDS, mean=16)
